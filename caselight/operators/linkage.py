@@ -172,20 +172,7 @@ def link_members(
     **split,
 ) -> DataFrame:
     """Member candidate of every structured document (one row each)."""
-    docs = structured.select(
-        "doc_id",
-        F.lower(F.trim("name_on_form")).alias("name"),
-        F.col("dob_extracted").alias("dob"),
-        F.col("ssn4_extracted").alias("ssn4"),
-        F.col("extraction_ts").alias("pipeline_run_ts"),
-        "payer_code",
-    )
-    targets = members.select(
-        F.col("member_id").alias("candidate_member_id"),
-        full_name(F.col("first_name"), F.col("last_name")).alias("name"),
-        F.col("dob").cast("string").alias("dob"),
-        "ssn4",
-    )
+    docs, targets = member_evidence(structured, members)
     linked = best_links(
         docs, targets, "doc_id", "candidate_member_id", fields, ["pipeline_run_ts", "payer_code"], **split
     )
@@ -297,3 +284,110 @@ def dq_summary(parsed: DataFrame, structured: DataFrame, candidates: DataFrame,
         pct(n_where(cls == "possible_match"), scored).alias("pct_possible_match"),
         pct(n_where(cls == "non_match"), scored).alias("pct_non_match"),
     )
+
+
+def agreement_patterns(docs: DataFrame, targets: DataFrame, names: Sequence[str]) -> DataFrame:
+    """How many (document, target) pairs agree on exactly which fields.
+
+    Columns: ``there`` and ``agreed`` (bit sets of ``names``) and ``pairs``.
+    Pairs that agree on at least a set are the products of the row counts per
+    key on both sides; inclusion and exclusion turns them into exact sets.  No
+    pair is formed, and the result has at most 3**k rows.
+    """
+    size = 1 << len(names)
+    cols = [F.col(n) for n in names]
+    keys = [f"_k{i}" for i in range(len(names))]
+    mask = sum((F.when(c.isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    nothing = F.struct(F.lit(0).alias("_set"), *[F.lit("").alias(k) for k in keys])
+
+    def counted(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        # Rows with equal fields are folded before their sets are listed.
+        folded = df.groupBy(*names).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("_n"))
+        sets = F.explode(F.concat(_agreement_rows(cols), F.array(nothing))).alias("_p")
+        return (
+            folded.select(mask.alias("there"), "_n", sets)
+            .where(F.col("_p").isNotNull())
+            .select("there", "_n", "_p.*")
+            .groupBy(*by, "_set", *keys)
+            .agg(F.sum("_n").cast("decimal(38,0)").alias("_n"))
+        )
+
+    left = counted(docs, ["there"])
+    right = counted(targets, []).withColumnRenamed("_n", "_m")
+    product = (F.col("_n") * F.col("_m")).cast("decimal(38,0)")
+    at_least = left.join(right, ["_set", *keys]).groupBy("there", "_set").agg(
+        F.sum(product).cast("decimal(38,0)").alias("_pairs")
+    )
+    subset = F.explode(
+        F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda s: s.bitwiseAND(F.col("_set")) == s)
+    )
+    odd = F.bit_count(F.col("_set").bitwiseXOR(F.col("agreed"))) % 2 == 1
+    return (
+        at_least.select("there", "_set", "_pairs", subset.alias("agreed"))
+        .groupBy("there", "agreed")
+        .agg(F.sum(F.when(odd, -F.col("_pairs")).otherwise(F.col("_pairs"))).alias("pairs"))
+        .where(F.col("pairs") > 0)
+    )
+
+
+def estimate_mu(patterns: DataFrame, names: Sequence[str], iterations: int = 50) -> DataFrame:
+    """Agreement probabilities per field by expectation maximisation.
+
+    Spark counts the pairs; the iteration itself runs over those at most 3**k
+    counts.
+    """
+    rows = [(r["there"], r["agreed"], float(r["pairs"])) for r in patterns.collect()]
+    k = len(names)
+    m, u = [0.9] * k, [0.05] * k
+    share = 1e-3
+    total = sum(n for _, _, n in rows)
+    for _ in range(iterations):
+        hit = [0.0] * k
+        hit_there = [0.0] * k
+        miss = [0.0] * k
+        miss_there = [0.0] * k
+        matched = 0.0
+        for there, agreed, n in rows:
+            pm, pu = share, 1 - share
+            for i in range(k):
+                if there >> i & 1:
+                    yes = agreed >> i & 1
+                    pm *= m[i] if yes else 1 - m[i]
+                    pu *= u[i] if yes else 1 - u[i]
+            g = pm / (pm + pu) if pm + pu > 0 else 0.0
+            matched += n * g
+            for i in range(k):
+                if there >> i & 1:
+                    hit_there[i] += n * g
+                    miss_there[i] += n * (1 - g)
+                    if agreed >> i & 1:
+                        hit[i] += n * g
+                        miss[i] += n * (1 - g)
+        share = min(max(matched / total, 1e-12), 1 - 1e-12) if total else share
+        for i in range(k):
+            if hit_there[i] > 0:
+                m[i] = min(max(hit[i] / hit_there[i], 1e-9), 1 - 1e-9)
+            if miss_there[i] > 0:
+                u[i] = min(max(miss[i] / miss_there[i], 1e-9), 1 - 1e-9)
+    spark = patterns.sparkSession
+    structs = [F.struct(F.lit(n).alias("field"), F.lit(a).alias("m"), F.lit(b).alias("u")) for n, a, b in zip(names, m, u)]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
+def member_evidence(structured: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The compared fields of both sides, under one name each."""
+    docs = structured.select(
+        "doc_id",
+        F.lower(F.trim("name_on_form")).alias("name"),
+        F.col("dob_extracted").alias("dob"),
+        F.col("ssn4_extracted").alias("ssn4"),
+        F.col("extraction_ts").alias("pipeline_run_ts"),
+        "payer_code",
+    )
+    targets = members.select(
+        F.col("member_id").alias("candidate_member_id"),
+        full_name(F.col("first_name"), F.col("last_name")).alias("name"),
+        F.col("dob").cast("string").alias("dob"),
+        "ssn4",
+    )
+    return docs, targets
