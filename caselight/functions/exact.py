@@ -15,10 +15,12 @@ WIDE = "decimal(38,0)"
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Double with at most ``digits`` decimals as a scaled bigint."""
-    if digits == 0:
-        return F.round(value.cast("double")).cast("long")
-    return F.round(value.cast("double") * F.lit(float(10**digits))).cast("long")
+    """Double with at most ``digits`` decimals as a scaled bigint.
+
+    Plain arithmetic stays in generated code; ROUND would build a BigDecimal
+    per row.
+    """
+    return F.floor(value.cast("double") * F.lit(float(10**digits)) + F.lit(0.5))
 
 
 def ratio(num: Column, den: Column, dp: int, scale: int = 1, wide: bool = True) -> Column:

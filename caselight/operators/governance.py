@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from caselight.functions.exact import n_where
 from caselight.sources.tables import append_missing
 
+INLINE_GRANTS = 500
+
 IDENTIFIERS = frozenset(
     {
         "first_name", "last_name", "middle_initial", "dob", "ssn4", "address_line1", "city", "zip",
@@ -19,15 +21,19 @@ IDENTIFIERS = frozenset(
 )
 
 
-def visible(df: DataFrame, grants: DataFrame, user: str, col: str = "payer_code") -> DataFrame:
-    """Rows without a payer, or of a payer ``user`` holds a grant for."""
-    granted = (
-        grants.where(F.col("user_email") == user)
-        .select(F.col("payer_id").alias("_payer"))
-        .distinct()
-        .withColumn("_granted", F.lit(True))
-    )
-    kept = df.join(granted, F.col(col) == F.col("_payer"), "left")
+def visible(
+    df: DataFrame, grants: DataFrame, user: str, col: str = "payer_code", inline: int = INLINE_GRANTS
+) -> DataFrame:
+    """Rows without a payer, or of a payer ``user`` holds a grant for.
+
+    Up to ``inline`` grants become an IN list, which reaches the scan as a
+    pushed filter; more of them are met by a join.  Grants count as of now.
+    """
+    granted = grants.where(F.col("user_email") == user).select(F.col("payer_id").alias("_payer")).distinct()
+    codes = [r["_payer"] for r in granted.limit(inline + 1).collect()]
+    if len(codes) <= inline:
+        return df.where(F.col(col).isNull() | F.col(col).isin(codes))
+    kept = df.join(granted.withColumn("_granted", F.lit(True)), F.col(col) == F.col("_payer"), "left")
     return kept.where(F.col(col).isNull() | F.col("_granted")).drop("_payer", "_granted")
 
 

@@ -19,6 +19,8 @@ from caselight.session import materialize
 
 # Distinct values per run that one window task may sort.
 CELLS_PER_TASK = 200_000
+# Rows of a lookup table that may be sent to every executor.
+BROADCAST_ROWS = 200_000
 # Rows of one key above which its rolling window is cut into ranges.
 HOT_ROWS = 2_000_000
 
@@ -34,6 +36,15 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow lookup table once its rows have been counted.
+
+    Above ``limit`` the join is left to the planner: a shuffled join whose
+    oversized partitions adaptive execution splits.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def value_ranks(
     cells: DataFrame, keys: Sequence[str], value: str, cells_per_task: int = CELLS_PER_TASK
 ) -> DataFrame:

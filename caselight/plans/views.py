@@ -124,7 +124,8 @@ def match_detail_ranked(reg: Registry, cells_per_task: int = R.CELLS_PER_TASK) -
 
     Ranks come from row counts per distinct (type, channel, day, weight), a
     table that stays small because weights are sums of a few fixed terms.  It
-    is written once; whether it is broadcast back is decided on its real size.
+    is written once, and each lookup derived from it is broadcast back only after
+    its rows have been counted.
     """
     detail = match_detail_by_payer(reg).drop("payer_code")
     m = reg.table("doc_member_match_candidates").select("doc_id", F.col("total_weight").alias("match_weight"))
@@ -153,10 +154,10 @@ def match_detail_ranked(reg: Registry, cells_per_task: int = R.CELLS_PER_TASK) -
     by_type = cube.groupBy("document_type").agg(mean.alias("type_avg_weight"))
     by_channel = cube.groupBy("source_channel").agg(mean.alias("channel_avg_weight"))
     by_day = cube.groupBy("document_type", "intake_date").agg(F.sum("n").alias("docs_same_day_type"))
-    out = R.null_safe(detail, by_weight, ["document_type", "match_weight"])
-    out = R.null_safe(out, by_type, ["document_type"])
-    out = R.null_safe(out, by_channel, ["source_channel"])
-    return R.null_safe(out, by_day, ["document_type", "intake_date"])
+    out = R.null_safe(detail, R.sized(by_weight), ["document_type", "match_weight"])
+    out = R.null_safe(out, R.sized(by_type), ["document_type"])
+    out = R.null_safe(out, R.sized(by_channel), ["source_channel"])
+    return R.null_safe(out, R.sized(by_day), ["document_type", "intake_date"])
 
 
 def auth_match_daily(reg: Registry) -> DataFrame:
@@ -331,10 +332,10 @@ def call_scores(reg: Registry, hot_rows: int = R.HOT_ROWS, cells_per_task: int =
         calls, "agent_name", ["created_ts", "call_id"], "call_score", 5, 1, "agent_rolling_5_avg",
         agent_sizes, hot_rows,
     )
-    out = R.null_safe(out, by_agent, ["agent_name"])
-    out = R.null_safe(out, by_pair, ["agent_name", "agency_name"])
-    out = R.null_safe(out, by_score, ["call_type", "call_score"])
-    out = R.null_safe(out, by_agency, ["agency_name"])
+    out = R.null_safe(out, R.sized(by_agent), ["agent_name"])
+    out = R.null_safe(out, R.sized(by_pair), ["agent_name", "agency_name"])
+    out = R.null_safe(out, R.sized(by_score), ["call_type", "call_score"])
+    out = R.null_safe(out, R.sized(by_agency), ["agency_name"])
     return out.select(
         "call_id",
         "agent_name",

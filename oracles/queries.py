@@ -265,14 +265,7 @@ STAGES = {
         UNION ALL
         SELECT doc_id, member_id, w, CASE WHEN w > 8 THEN 'match' WHEN w > 3 THEN 'possible_match'
           ELSE 'non_match' END, run_day
-        FROM (SELECT *, round(raw, 4) AS w FROM (
-          SELECT d.doc_id, t.member_id, CAST(d.run_ts AS DATE) AS run_day,
-            CASE WHEN d.dob IS NULL THEN 0.0::DOUBLE WHEN d.dob = t.dob THEN log2(0.92 / 0.005)
-              ELSE log2((1 - 0.92) / (1 - 0.005)) END
-            + CASE WHEN d.ssn4 IS NULL THEN 0.0::DOUBLE WHEN d.ssn4 = t.ssn4 THEN log2(0.95 / 0.001)
-              ELSE log2((1 - 0.95) / (1 - 0.001)) END AS raw
-          FROM m_docs d CROSS JOIN m_targets t))
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, member_id) = 1)
+        FROM (SELECT doc_id, member_id, total_weight AS w, CAST(run_ts AS DATE) AS run_day FROM m_best_anchors))
         q(doc_id, candidate_member_id, total_weight, match_class, run_day)
       QUALIFY row_number() OVER (PARTITION BY doc_id
         ORDER BY total_weight DESC, candidate_member_id, match_class) = 1""",
