@@ -36,27 +36,35 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a narrow lookup table once its rows have been counted.
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS, at_most: int | None = None) -> DataFrame:
+    """Broadcast a narrow lookup table once its size is known.
 
-    Above ``limit`` the join is left to the planner: a shuffled join whose
-    oversized partitions adaptive execution splits.
+    ``at_most`` is a row count known to bound it (it is an aggregate of a
+    counted table); otherwise the rows are counted.  Above ``limit`` the join
+    is left to the planner: a shuffled join whose oversized partitions
+    adaptive execution splits.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    fits = at_most is not None and at_most <= limit
+    return F.broadcast(df) if fits or df.limit(limit + 1).count() <= limit else df
 
 
 def value_ranks(
-    cells: DataFrame, keys: Sequence[str], value: str, cells_per_task: int = CELLS_PER_TASK
+    cells: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    cells_per_task: int = CELLS_PER_TASK,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Per (keys, value): rows below, rows above, distinct values above, total.
 
-    ``cells`` holds one row per (keys, value) with its row count ``n``.  A
+    ``cells`` holds one row per (keys, value) with its row count ``n``, and at
+    most ``at_most`` rows if that is known.  A
     small input is windowed per key.  A large one is range-partitioned on
     (keys, value); each range is summed on its own and shifted by the totals
     of the ranges before it, so no task holds more than a range.
     """
     keys = list(keys)
-    total_cells = cells.count()
+    total_cells = at_most if at_most is not None and at_most <= cells_per_task else cells.count()
     if total_cells <= cells_per_task:
         up = W.partitionBy(*keys).orderBy(F.col(value).asc_nulls_first())
         all_rows = W.partitionBy(*keys)
@@ -213,6 +221,6 @@ def top_ranked(df: DataFrame, value: str, k: int, cells: DataFrame) -> DataFrame
     # At most k distinct values can have a rank of k or less.
     best = cells.orderBy(F.col(value).desc()).limit(k)
     ranks = (
-        value_ranks(best, [], value).withColumn("rk", rank_desc()).where(F.col("rk") <= k).select(value, "rk")
+        value_ranks(best, [], value, at_most=k).withColumn("rk", rank_desc()).where(F.col("rk") <= k).select(value, "rk")
     )
     return df.join(F.broadcast(ranks), value)  # k rows at most

@@ -23,8 +23,27 @@ from caselight.sources.registry import Registry
 
 
 def newest(df: DataFrame, col: str, as_of: date | None) -> Column:
-    """Reporting date: given, or the newest date found."""
-    return F.lit(as_of) if as_of is not None else df.agg(F.max(col)).scalar()
+    """Reporting date: given, or the newest date found.
+
+    A literal either way, so that date filters reach the scan.
+    """
+    return F.lit(as_of if as_of is not None else df.agg(F.max(col)).first()[0]).cast("date")
+
+
+def _recent_intake(reg: Registry, as_of: date | None, days: int, look_back: int) -> DataFrame:
+    """Intake days of the last ``days`` days, read with just enough older days.
+
+    Window columns look back over at most ``look_back`` rows, so documents
+    before the ``look_back - 1`` newest earlier days cannot matter.  Both
+    dates come from a scan of the timestamp alone.
+    """
+    docs = reg.table("clinical_document")
+    seen = docs.select(F.to_date("ingestion_timestamp").alias("d"))
+    start = F.date_sub(newest(seen, "d", as_of), days)
+    older = seen.where(F.col("d") < start).distinct().orderBy(F.col("d").desc()).limit(look_back - 1)
+    first = F.coalesce(F.lit(older.agg(F.min("d")).first()[0]).cast("date"), start)
+    kept = docs.where(F.to_date("ingestion_timestamp") >= first)
+    return V.intake_days(kept).where(F.col("intake_date") >= start)
 
 
 def _is(name: str) -> Column:
@@ -59,9 +78,8 @@ def q02_payer_approval(reg, as_of=None):
 
 
 def q03_intake_trend(reg, as_of=None):
-    days = V.intake_daily(reg)
     return (
-        days.where(since(F.col("intake_date"), newest(days, "intake_date", as_of), 30))
+        _recent_intake(reg, as_of, 30, 30)
         .select("intake_date", "total_docs", "rolling_7d_avg", "rolling_30d_avg", "is_volume_spike")
         .orderBy("intake_date")
     )
@@ -393,9 +411,8 @@ def s04_docs_without_anchors(reg, as_of=None):
 
 
 def s05_spikes_this_week(reg, as_of=None):
-    days = V.intake_daily(reg)
     return (
-        days.where(since(F.col("intake_date"), newest(days, "intake_date", as_of), 7))
+        _recent_intake(reg, as_of, 7, 7)
         .select("intake_date", "total_docs", "rolling_7d_avg", "is_volume_spike")
         .orderBy("intake_date")
     )

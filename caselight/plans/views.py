@@ -7,6 +7,8 @@ Two of them exist in a global and a per-payer form under their own names:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ from caselight.functions import exprs as X
 from caselight.functions.exact import fixed, mean_fixed, mean_int, n_where, pct, ratio
 from caselight.operators import ranks as R
 from caselight.operators import windows as Wd
+from caselight.operators.ranks import null_safe
+from caselight.plans.comments import view_comments
 from caselight.session import materialize
 from caselight.sources.registry import Registry
+from caselight.sources.tables import register_view, with_comments
 
 QUALITY_DIGITS = 6
 WEIGHT_DIGITS = 4
@@ -51,13 +56,9 @@ def _spike(keys: list[str]) -> Column:
     return X.above_multiple(F.col("total_docs"), total, n, 2)
 
 
-def intake_daily(reg: Registry) -> DataFrame:
+def intake_days(docs: DataFrame) -> DataFrame:
     """Documents per day with day-over-day change, rolling means and spike flag."""
-    base = (
-        reg.table("clinical_document")
-        .groupBy(X.day(F.col("ingestion_timestamp")).alias("intake_date"))
-        .agg(*intake_measures())
-    )
+    base = docs.groupBy(X.day(F.col("ingestion_timestamp")).alias("intake_date")).agg(*intake_measures())
     # One row per calendar day, so a single window task is enough.
     by_day: list[str] = []
     order = ["intake_date"]
@@ -73,6 +74,10 @@ def intake_daily(reg: Registry) -> DataFrame:
     )
 
 
+def intake_daily(reg: Registry) -> DataFrame:
+    return intake_days(reg.table("clinical_document"))
+
+
 def intake_daily_by_payer(reg: Registry) -> DataFrame:
     """Documents per day and payer; rolling means and spikes stay within a payer."""
     base = (
@@ -138,6 +143,7 @@ def match_detail_ranked(reg: Registry, cells_per_task: int = R.CELLS_PER_TASK) -
         .agg(_rows().alias("n")),
         "match-cube",
     )
+    cells = cube.count()  # bounds every table derived from it
     scaled = fixed(F.col("match_weight"), WEIGHT_DIGITS) * F.col("n")
     mean = ratio(F.sum(scaled), F.sum("n") * F.lit(10**WEIGHT_DIGITS), WEIGHT_DIGITS)
     by_weight = R.value_ranks(
@@ -145,6 +151,7 @@ def match_detail_ranked(reg: Registry, cells_per_task: int = R.CELLS_PER_TASK) -
         ["document_type"],
         "match_weight",
         cells_per_task,
+        cells,
     ).select(
         "document_type",
         "match_weight",
@@ -154,10 +161,10 @@ def match_detail_ranked(reg: Registry, cells_per_task: int = R.CELLS_PER_TASK) -
     by_type = cube.groupBy("document_type").agg(mean.alias("type_avg_weight"))
     by_channel = cube.groupBy("source_channel").agg(mean.alias("channel_avg_weight"))
     by_day = cube.groupBy("document_type", "intake_date").agg(F.sum("n").alias("docs_same_day_type"))
-    out = R.null_safe(detail, R.sized(by_weight), ["document_type", "match_weight"])
-    out = R.null_safe(out, R.sized(by_type), ["document_type"])
-    out = R.null_safe(out, R.sized(by_channel), ["source_channel"])
-    return R.null_safe(out, R.sized(by_day), ["document_type", "intake_date"])
+    out = R.null_safe(detail, R.sized(by_weight, at_most=cells), ["document_type", "match_weight"])
+    out = R.null_safe(out, R.sized(by_type, at_most=cells), ["document_type"])
+    out = R.null_safe(out, R.sized(by_channel, at_most=cells), ["source_channel"])
+    return R.null_safe(out, R.sized(by_day, at_most=cells), ["document_type", "intake_date"])
 
 
 def auth_match_daily(reg: Registry) -> DataFrame:
@@ -310,6 +317,7 @@ def call_scores(reg: Registry, hot_rows: int = R.HOT_ROWS, cells_per_task: int =
         .agg(_rows().alias("n")),
         "call-cube",
     )
+    cells = cube.count()  # bounds every table derived from it
     points = F.sum(F.col("call_score").cast("long") * F.col("n"))
     scored = F.sum(F.when(F.col("call_score").isNotNull(), F.col("n")))
     by_agent = cube.groupBy("agent_name").agg(
@@ -318,7 +326,7 @@ def call_scores(reg: Registry, hot_rows: int = R.HOT_ROWS, cells_per_task: int =
     by_agency = cube.groupBy("agency_name").agg(ratio(points, scored, 1).alias("agency_avg_score"))
     pairs = cube.groupBy("agency_name", "agent_name").agg((points.cast("double") / scored).alias("_mean"))
     places = R.value_ranks(
-        pairs.groupBy("agency_name", "_mean").agg(_rows().alias("n")), ["agency_name"], "_mean", cells_per_task
+        pairs.groupBy("agency_name", "_mean").agg(_rows().alias("n")), ["agency_name"], "_mean", cells_per_task, cells
     ).select("agency_name", "_mean", R.dense_rank_desc().alias("agent_rank_in_agency"))
     by_pair = R.null_safe(pairs, places, ["agency_name", "_mean"]).drop("_mean")
     by_score = R.value_ranks(
@@ -326,16 +334,17 @@ def call_scores(reg: Registry, hot_rows: int = R.HOT_ROWS, cells_per_task: int =
         ["call_type"],
         "call_score",
         cells_per_task,
+        cells,
     ).select("call_type", "call_score", R.percent_rank_asc().alias("score_pctile_in_type"))
     agent_sizes = by_agent.select("agent_name", F.col("agent_call_count").alias("n"))
     out = R.rolling_mean(
         calls, "agent_name", ["created_ts", "call_id"], "call_score", 5, 1, "agent_rolling_5_avg",
         agent_sizes, hot_rows,
     )
-    out = R.null_safe(out, R.sized(by_agent), ["agent_name"])
-    out = R.null_safe(out, R.sized(by_pair), ["agent_name", "agency_name"])
-    out = R.null_safe(out, R.sized(by_score), ["call_type", "call_score"])
-    out = R.null_safe(out, R.sized(by_agency), ["agency_name"])
+    out = R.null_safe(out, R.sized(by_agent, at_most=cells), ["agent_name"])
+    out = R.null_safe(out, R.sized(by_pair, at_most=cells), ["agent_name", "agency_name"])
+    out = R.null_safe(out, R.sized(by_score, at_most=cells), ["call_type", "call_score"])
+    out = R.null_safe(out, R.sized(by_agency, at_most=cells), ["agency_name"])
     return out.select(
         "call_id",
         "agent_name",
@@ -520,6 +529,24 @@ def call_ops_daily(reg: Registry) -> DataFrame:
     return _call_ops(reg, F.col("synthetic_call_ts"))
 
 
+def dense_days(df: DataFrame, date: str, keys: Sequence[str], zero: Sequence[str]) -> DataFrame:
+    """A daily series with its missing calendar days added, ``zero`` columns at 0.
+
+    Row-based windows over the result count days.  The views do not use it.
+    """
+    span = df.groupBy(*keys).agg(F.min(date).alias("_from"), F.max(date).alias("_to"))
+    calendar = span.select(*keys, F.explode(F.sequence("_from", "_to")).alias(date))
+    out = null_safe(calendar, df, [*keys, date])
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+
+
+def publish_views(reg: Registry, names: Sequence[str] = ()) -> list[str]:
+    """Register views (all by default) as commented temp views under the registry's prefix."""
+    return [
+        register_view(with_comments(VIEWS[n](reg), view_comments(n)), n, reg.prefix) for n in (names or VIEWS)
+    ]
+
+
 VIEWS = {
     "intake_daily": intake_daily,
     "intake_daily_by_payer": intake_daily_by_payer,
@@ -536,38 +563,3 @@ VIEWS = {
     "call_ops_daily_by_created": call_ops_daily_by_created,
     "call_ops_daily": call_ops_daily,
 }
-
-VIEW_COMMENTS: dict[str, dict[str, str]] = {
-    "intake_daily": {
-        "intake_date": "Day the documents came in",
-        "total_docs": "Documents of the day, all channels",
-        "prev_day_total": "Total of the row before",
-        "day_over_day_pct": "Percent change to the row before",
-        "rolling_7d_avg": "Mean of the last 7 rows",
-        "rolling_30d_avg": "Mean of the last 30 rows",
-        "cumulative_docs": "Documents since the first day",
-        "is_volume_spike": "More than twice the 7-row mean",
-    },
-    "match_detail_ranked": {
-        "doc_risk_tier": "Readability and anchor tier",
-        "weight_rank_in_type": "Rank within document type, 1 is best",
-        "weight_pctile_in_type": "Percentile within document type",
-        "docs_same_day_type": "Documents of the same type and day",
-    },
-    "auth_match_daily": {
-        "prev_week_count": "Candidates of the class seven rows earlier",
-        "daily_class_share": "Percent of the day's candidates",
-    },
-    "data_quality_daily": {
-        "unreadable_trend_3d": "Change of pct_unreadable over three rows",
-        "dq_degradation_flag": "More than 1.5 times the 7-row mean",
-    },
-    "call_scores": {
-        "agent_rank_in_agency": "Dense rank by mean score, 1 is best",
-        "agent_rolling_5_avg": "Mean of the agent's last five calls",
-    },
-    "compliance_daily": {"days_below_threshold": "Run of days below the compliance floor"},
-    "pa_decisions_daily": {"sla_target_hours": "72 for urgent, 168 for standard"},
-    "payer_mix": {"pa_approval_rate_pct": "Approved share of decided requests"},
-    "call_ops_daily": {"abandoned_proxy_count": "Calls that waited over 600 seconds"},
-}

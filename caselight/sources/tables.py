@@ -28,12 +28,15 @@ def overwrite_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, comment: str = "") -> None:
     """Lay a fact table out by its join key.
 
     Tables bucketed alike on ``doc_id`` or ``call_id`` join without a shuffle.
     """
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    if comment:
+        text = comment.replace("\\", "\\\\").replace("'", "\\'")
+        df.sparkSession.sql(f"COMMENT ON TABLE {table} IS '{text}'")
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

@@ -90,20 +90,26 @@ def test_registry_over_stored_tables(spark, reg, tmp_path):
 
 
 def test_views_can_be_published_for_sql(spark, reg):
-    from caselight.plans.views import VIEW_COMMENTS, intake_daily
+    from caselight.plans.views import VIEWS, publish_views
 
-    df = Tb.with_comments(intake_daily(reg), VIEW_COMMENTS["intake_daily"])
-    Tb.register_view(df, "intake_daily", "mart_")
-    assert spark.table("mart_intake_daily").schema["is_volume_spike"].metadata["comment"]
+    other = reg.as_user(None)
+    other.prefix = "mart_"
+    assert publish_views(other) == [f"mart_{n}" for n in VIEWS]
+    for n in VIEWS:
+        assert all(f.metadata.get("comment") for f in spark.table(f"mart_{n}").schema.fields), n
     assert spark.sql("SELECT sum(total_docs) FROM mart_intake_daily").first()[0] == reg.table("clinical_document").count()
 
 
 def test_bucketed_tables_join_without_shuffle(spark, reg):
-    Tb.save_bucketed(reg.table("clinical_doc_parsed"), "b_parsed", "doc_id", 4)
+    Tb.save_bucketed(
+        reg.table("clinical_doc_parsed"), "b_parsed", "doc_id", 4, TABLE_COMMENTS["clinical_doc_parsed"]
+    )
     Tb.save_bucketed(reg.table("clinical_document").select("doc_id", "payer_code"), "b_docs", "doc_id", 4)
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         joined = spark.table("b_parsed").drop("payer_code").join(spark.table("b_docs"), "doc_id")
+        shown = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED b_parsed").collect()}
+        assert shown["Comment"] == TABLE_COMMENTS["clinical_doc_parsed"]
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
         assert joined.count() == reg.table("clinical_doc_parsed").count()
     finally:

@@ -114,3 +114,13 @@ def test_sized_hint_only_below_the_limit(spark):
     fact = spark.range(1000)
     assert "strategy=broadcast" in plan(fact.join(R.sized(df, 100), "id"))
     assert "strategy=broadcast" not in plan(fact.join(R.sized(df, 99), "id"))
+    assert "strategy=broadcast" in plan(fact.join(R.sized(df, 100, at_most=100), "id"))
+    assert "strategy=broadcast" not in plan(fact.join(R.sized(df, 99, at_most=200), "id"))
+
+
+def test_dense_calendar(spark):
+    from caselight.plans.views import dense_days
+
+    df = spark.createDataFrame([("a", days(1)[0], 5), ("a", days(4)[3], 7), (None, days(1)[0], 1)], "k string, d date, n int")
+    got = rows(dense_days(df, "d", ["k"], ["n"]))
+    assert [r[2] for r in got if r[0] == "a"] == [5, 0, 0, 7] and len(got) == 5
