@@ -222,15 +222,13 @@ def table_ensure_columns(reg: Registry) -> DataFrame:
 
 
 def backfill_payer(reg: Registry) -> DataFrame:
-    """Hash-assigned payer on documents, cascaded to the four stage tables."""
+    """Rows per payer after hash assignment on documents and the cascade to the stage tables."""
     docs = Mt.assign_payer(reg.raw("clinical_document"), "doc_id").select("doc_id", "payer_code")
     out = docs.select(F.lit("clinical_document").alias("table_name"), "payer_code")
     for name in Mt.STAGE_LAG:
         stage = Mt.cascade_payer(reg.raw(name), docs)
         out = out.unionByName(stage.select(F.lit(name).alias("table_name"), "payer_code"))
-    return out.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("rows"), n_where(F.col("payer_code").isNull()).alias("without_payer")
-    )
+    return out.groupBy("table_name", "payer_code").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def backfill_urgency(reg: Registry) -> DataFrame:
@@ -245,25 +243,23 @@ def backfill_call_timings(reg: Registry) -> DataFrame:
 
 
 def spread_documents(reg: Registry) -> DataFrame:
-    """Documents and stage rows of one intake day spread over ninety days, per stage."""
+    """Rows per day and stage after one intake day is spread over ninety days."""
     day0 = date(2024, 1, 10)
     docs = Mt.spread_documents(reg.raw("clinical_document"), AS_OF, day0)
     out = docs.select(F.lit("clinical_document").alias("table_name"), F.col("ingestion_timestamp").alias("ts"))
     for name, (col, _) in Mt.STAGE_LAG.items():
         stage = Mt.cascade_stage_ts(reg.raw(name), name, docs, day0)
         out = out.unionByName(stage.select(F.lit(name).alias("table_name"), F.col(col).alias("ts")))
-    moved = F.to_date("ts") > F.lit(date(2024, 2, 1))
-    return out.groupBy("table_name").agg(F.count(F.lit(1)).alias("rows"), n_where(moved).alias("moved"))
+    return out.groupBy("table_name", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def shift_decisions(reg: Registry) -> DataFrame:
-    """Decision gaps after the shift; they equal the gaps before it."""
+    """Decisions per new day and gap; the gaps equal those before the shift."""
     a = Mt.shift_decisions(reg.raw("authorization"), AS_OF).where(F.col("auth_decision_date").isNotNull())
     gap = X.days_between(F.col("auth_decision_date"), F.col("auth_requested_date"))
-    recent = F.col("auth_decision_date") >= F.date_sub(F.lit(AS_OF), 89)
-    return a.groupBy("payer_code", "urgency", gap.cast("long").alias("gap_days")).agg(
-        F.count(F.lit(1)).alias("decisions"), n_where(recent).alias("recent")
-    )
+    return a.groupBy(
+        "payer_code", "urgency", gap.cast("long").alias("gap_days"), F.col("auth_decision_date").alias("decision_day")
+    ).agg(F.count(F.lit(1)).alias("decisions"))
 
 
 def overlay_call_ts(reg: Registry) -> DataFrame:

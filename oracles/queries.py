@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.sql import N, half_up, mean, n_if, pct, sql
+from oracles.sql import N, PAYERS, abs_hash, half_up, mean, n_if, nth, pct, sql
 
 VIEWS = {
     "view_intake_daily": "SELECT * FROM v_intake",
@@ -294,6 +294,10 @@ STAGES = {
 
 CALL_NO = KEY_NO.format(c="call_id", n=5)
 DOC_NO = KEY_NO.format(c="p.doc_id", n=4)
+HASHED_DOCS = abs_hash(
+    abs_hash(abs_hash("SELECT doc_id FROM docs", "h", "doc_id", 15), "h_hour", "doc_id || 'h'", 16),
+    "h_min", "doc_id || 'm'", 16,
+)
 STAGE_NAMES = {
     "clinical_document": "docs",
     "clinical_doc_parsed": "parsed",
@@ -314,17 +318,40 @@ TABLES = {
       FROM parsed p LEFT JOIN docs d ON d.doc_id = p.doc_id""",
     "table_ensure_columns": "SELECT doc_id, payer_code, CAST(NULL AS VARCHAR) AS urgency FROM docs",
     "backfill_payer": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, {N} AS rows, CAST(0 AS BIGINT) AS without_payer FROM {cte}"
+        f"SELECT '{name}' AS table_name, "
+        "CASE WHEN t.payer_code IS NULL THEN d.hashed ELSE t.payer_code END"
+        + f" AS payer_code, {N} AS rows FROM {cte} t JOIN (SELECT doc_id AS id, {nth(PAYERS, 'h % 5')} AS hashed"
+        f" FROM ({HASHED_DOCS})) d ON d.id = t.doc_id GROUP BY 1, 2"
         for name, cte in STAGE_NAMES.items()
     ),
+    "backfill_urgency": "SELECT CASE WHEN h % 10 < 3 THEN 'urgent' ELSE 'standard' END AS urgency,"
+    f" {N} AS rows FROM ({abs_hash('SELECT auth_id FROM auths', 'h', 'auth_id', 16)}) GROUP BY 1",
+    "backfill_call_timings": f"""SELECT call_id,
+      CASE WHEN {CALL_NO} % 2 = 0 THEN wait_seconds ELSE 60 + hw % 540 END AS wait_seconds,
+      CASE WHEN {CALL_NO} % 2 = 0 THEN handle_seconds ELSE 180 + hh2 % 1620 END AS handle_seconds,
+      CASE WHEN {CALL_NO} % 2 = 0 THEN fcr_flag ELSE hf % 100 < 70 END AS fcr_flag
+      FROM ({abs_hash(abs_hash(abs_hash("SELECT * FROM ops", "hw", "call_id || 'wait'", 20),
+                               "hh2", "call_id || 'handle'", 22), "hf", "call_id || 'fcr'", 19)})""",
+    "overlay_call_ts": "SELECT call_id, DATE '2024-06-30' - CAST(h % 30 AS INTEGER) AS call_day"
+    f" FROM ({abs_hash('SELECT call_id FROM ops', 'h', 'call_id', 16)})",
     "spread_documents": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, {N} AS rows,"
-        f" {n_if(('run_day' if cte in ('mcand', 'acand') else 'intake') + ' = DATE ' + repr('2024-01-10'))}"
-        f" AS moved FROM {cte}"
-        for name, cte in STAGE_NAMES.items()
+        f"SELECT '{name}' AS table_name, CASE WHEN {day} = DATE '2024-01-10' THEN"
+        f" CAST(CAST(DATE '2024-06-30' - CAST(h % 90 AS INTEGER) AS TIMESTAMP)"
+        f" + to_minutes(h_hour % 24 * 60 + h_min % 60 + {lag}) AS DATE) ELSE {day} END AS day, {N} AS rows"
+        f" FROM {cte} t JOIN (SELECT doc_id AS id, h, h_hour, h_min FROM ({HASHED_DOCS})) d ON d.id = t.doc_id"
+        " GROUP BY 1, 2"
+        for name, cte, day, lag in (
+            ("clinical_document", "docs", "intake", 0),
+            ("clinical_doc_parsed", "parsed", "intake", 5),
+            ("clinical_doc_structured", "structured", "intake", 15),
+            ("doc_member_match_candidates", "mcand", "run_day", 30),
+            ("doc_auth_match_candidates", "acand", "run_day", 30),
+        )
     ),
-    "shift_decisions": f"SELECT payer_code, urgency, CAST(decided - requested AS BIGINT) AS gap_days,"
-    f" {N} AS decisions, {N} AS recent FROM auths WHERE decided IS NOT NULL GROUP BY 1, 2, 3",
+    "shift_decisions": "SELECT payer_code, urgency, CAST(decided - requested AS BIGINT) AS gap_days,"
+    " CASE WHEN decided < DATE '2024-06-30' - 89 THEN DATE '2024-06-30' - CAST(h % 90 AS INTEGER)"
+    f" ELSE decided END AS decision_day, {N} AS decisions"
+    f" FROM ({abs_hash('SELECT * FROM auths WHERE decided IS NOT NULL', 'h', 'auth_id', 16)}) GROUP BY 1, 2, 3, 4",
 }
 
 SEEN = "payer_code IS NULL OR payer_code IN ('NORTHWAVE', 'METRIDIAN')"
