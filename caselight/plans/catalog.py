@@ -128,7 +128,8 @@ def link_patterns(reg: Registry) -> DataFrame:
 
 
 def link_estimate_mu(reg: Registry) -> DataFrame:
-    return L.estimate_mu(_patterns(reg), ["name", "dob", "ssn4"])
+    found = L.estimate_mu(_patterns(reg), ["name", "dob", "ssn4"])
+    return found.select("field", F.round("m", 6).alias("m"), F.round("u", 6).alias("u"))
 
 
 def quality_by_batch(reg: Registry) -> DataFrame:

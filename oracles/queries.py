@@ -251,7 +251,44 @@ PATTERN_FIELDS = ("name", "dob", "ssn4")
 THERE = " + ".join(f"CASE WHEN d.{f} IS NOT NULL THEN {1 << i} ELSE 0 END" for i, f in enumerate(PATTERN_FIELDS))
 AGREED = " + ".join(f"CASE WHEN d.{f} = t.{f} THEN {1 << i} ELSE 0 END" for i, f in enumerate(PATTERN_FIELDS))
 
+def estimated(rounds: int = 50) -> str:
+    """Expectation maximisation over the pattern counts, one recursion step per round."""
+    k = range(len(PATTERN_FIELDS))
+
+    def product(first: str, p: str) -> str:
+        terms = [
+            f"CASE WHEN there & {1 << i} = 0 THEN 1.0 WHEN agreed & {1 << i} <> 0 THEN {p}{i} ELSE 1 - {p}{i} END"
+            for i in k
+        ]
+        return " * ".join([first, *terms])
+
+    def share(weight: str, i: int) -> str:
+        bit = 1 << i
+        hit = f"SUM(CASE WHEN there & {bit} <> 0 AND agreed & {bit} <> 0 THEN {weight} ELSE 0.0::DOUBLE END)"
+        there = f"SUM(CASE WHEN there & {bit} <> 0 THEN {weight} ELSE 0.0::DOUBLE END)"
+        return f"least(greatest({hit} / {there}, 1e-9), 1 - 1e-9)"
+
+    columns = ", ".join(f"m{i}, u{i}" for i in k)
+    start = ", ".join("0.9::DOUBLE, 0.05::DOUBLE" for _ in k)
+    update = ", ".join(f"{share('n * g', i)}, {share('n * (1 - g)', i)}" for i in k)
+    fields = " UNION ALL ".join(
+        f"SELECT '{f}' AS field, round(m{i}, 6) AS m, round(u{i}, 6) AS u FROM em WHERE step = {rounds}"
+        for i, f in enumerate(PATTERN_FIELDS)
+    )
+    return f"""SELECT * FROM (WITH RECURSIVE
+      counts AS MATERIALIZED (SELECT {THERE} AS there, {AGREED} AS agreed, CAST(COUNT(*) AS DOUBLE) AS n
+        FROM m_docs d CROSS JOIN m_targets t GROUP BY 1, 2),
+      em(step, lambda_, {columns}) AS (SELECT 0, 1e-3::DOUBLE, {start}
+        UNION ALL
+        SELECT step + 1, least(greatest(SUM(n * g) / SUM(n), 1e-12), 1 - 1e-12), {update}
+        FROM (SELECT *, pm / (pm + pu) AS g FROM (SELECT *, {product("lambda_", "m")} AS pm,
+            {product("(1 - lambda_)", "u")} AS pu FROM em, counts WHERE step < {rounds}))
+        GROUP BY step)
+      {fields})"""
+
+
 STAGES = {
+    "link_estimate_mu": estimated(),
     "stage_parse_docs": "SELECT doc_id, unreadable_flag, page_count_detected, parse_error_status,"
     " intake AS ingest_day, payer_code FROM parsed",
     "stage_extract_fields": "SELECT doc_id, member_id_on_form, auth_id, name_on_form,"
