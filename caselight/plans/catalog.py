@@ -181,15 +181,10 @@ STAGE_QUERIES: dict[str, Query] = {
 # Table maintenance ----------------------------------------------------------------
 
 
-def _key_no(col: str, prefix: int) -> Column:
-    """Number behind the letters of an id."""
-    return F.expr(f"cast(substring({col}, {prefix + 1}) as bigint)")
-
-
 def table_append_missing(reg: Registry) -> DataFrame:
-    """Timings of every third call, completed from the full derivation."""
+    """Timings held for first-contact calls only, completed from the full derivation."""
     full = reg.table("call_ops_supplemental").select("call_id", "wait_seconds", "handle_seconds", "fcr_flag")
-    held = full.where(_key_no("call_id", 4) % 3 == 0).withColumn("wait_seconds", F.lit(0))
+    held = full.where("fcr_flag").withColumn("wait_seconds", F.lit(0))
     return append_missing(held, full, ["call_id"])
 
 
@@ -206,14 +201,13 @@ def table_update_where(reg: Registry) -> DataFrame:
 
 
 def table_merge_update(reg: Registry) -> DataFrame:
-    """Payers restored from the documents where every third stage row lost its own."""
-    parsed = reg.table("clinical_doc_parsed").select("doc_id", "parse_error_status", "payer_code")
-    lost = parsed.withColumn(
-        "payer_code", F.when(_key_no("doc_id", 3) % 3 != 0, F.col("payer_code"))
+    """Payers restored from the documents where readable stage rows lost their own."""
+    parsed = reg.table("clinical_doc_parsed").select(
+        "doc_id", "parse_error_status", F.when(F.col("unreadable_flag"), F.col("payer_code")).alias("payer_code")
     )
     docs = reg.table("clinical_document").select("doc_id", F.lower("payer_code").alias("payer_code"))
     return merge_update(
-        lost, docs, ["doc_id"], {"payer_code": F.col("s.payer_code")}, when=F.col("t.payer_code").isNull()
+        parsed, docs, ["doc_id"], {"payer_code": F.col("s.payer_code")}, when=F.col("t.payer_code").isNull()
     )
 
 
@@ -238,7 +232,7 @@ def backfill_urgency(reg: Registry) -> DataFrame:
 
 
 def backfill_call_timings(reg: Registry) -> DataFrame:
-    held = reg.raw("call_ops_supplemental").where(_key_no("call_id", 4) % 2 == 0)
+    held = reg.raw("call_ops_supplemental").where("fcr_flag")
     full = Mt.add_call_timings(held, reg.raw("mv_call_scores"), F.lit(AS_OF).cast("timestamp"))
     return full.select("call_id", "wait_seconds", "handle_seconds", "fcr_flag")
 

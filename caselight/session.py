@@ -26,6 +26,10 @@ def build_session(app: str = "caselight", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
@@ -36,11 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="caselight-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="caselight-")
+    return _local_dirs[context.applicationId]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -54,4 +59,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_materialized(spark: SparkSession) -> int:
+    """Delete what :func:`materialize` wrote in this application; frames on it become invalid."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)

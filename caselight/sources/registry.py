@@ -49,10 +49,18 @@ class Registry:
 
     @classmethod
     def from_folder(
-        cls, spark: SparkSession, folder: str, names, user: str | None = None, prefix: str = ""
+        cls,
+        spark: SparkSession,
+        folder: str,
+        names,
+        user: str | None = None,
+        prefix: str = "",
+        text_dates: bool = False,
     ) -> Registry:
         """Tables stored as ``<folder>/<name>.parquet``."""
-        loaders = {n: partial(lambda reg, name: read_table(reg.spark, folder, name), name=n) for n in names}
+        loaders = {
+            n: partial(lambda reg, name: read_table(reg.spark, folder, name, text_dates), name=n) for n in names
+        }
         return cls(spark, loaders, user, prefix)
 
     def names(self) -> list[str]:

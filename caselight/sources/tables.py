@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 from caselight.sources.schemas import COLUMN_COMMENTS, SCHEMAS
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One parquet table of the model, under its declared schema."""
-    return with_comments(
-        spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet"),
-        COLUMN_COMMENTS.get(name, {}),
-    )
+def read_table(spark: SparkSession, folder: str, name: str, text_dates: bool = False) -> DataFrame:
+    """One parquet table of the model, under its declared schema.
+
+    ``text_dates`` reads files whose dates and timestamps are ISO text.
+    """
+    path = f"{folder}/{name}.parquet"
+    df = typed(spark.read.parquet(path), SCHEMAS[name]) if text_dates else spark.read.schema(SCHEMAS[name]).parquet(path)
+    return with_comments(df, COLUMN_COMMENTS.get(name, {}))
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

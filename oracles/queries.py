@@ -244,7 +244,6 @@ QUESTIONS = {
     " WHERE i.is_volume_spike OR COALESCE(q.dq_degradation_flag, false)",
 }
 
-KEY_NO = "CAST(substr({c}, {n}) AS BIGINT)"
 BATCH = "p.mrm_batch_id"
 
 PATTERN_FIELDS = ("name", "dob", "ssn4")
@@ -329,8 +328,6 @@ STAGES = {
     " FROM docs GROUP BY 1",
 }
 
-CALL_NO = KEY_NO.format(c="call_id", n=5)
-DOC_NO = KEY_NO.format(c="p.doc_id", n=4)
 HASHED_DOCS = abs_hash(
     abs_hash(abs_hash("SELECT doc_id FROM docs", "h", "doc_id", 15), "h_hour", "doc_id || 'h'", 16),
     "h_min", "doc_id || 'm'", 16,
@@ -343,14 +340,14 @@ STAGE_NAMES = {
     "doc_auth_match_candidates": "acand",
 }
 TABLES = {
-    "table_append_missing": f"SELECT call_id, CASE WHEN {CALL_NO} % 3 = 0 THEN 0 ELSE wait_seconds END"
+    "table_append_missing": "SELECT call_id, CASE WHEN fcr_flag THEN 0 ELSE wait_seconds END"
     " AS wait_seconds, handle_seconds, fcr_flag FROM ops",
     "table_update_where": """SELECT auth_id, status,
       CASE WHEN decided IS NOT NULL AND status <> 'Cancelled' THEN decided + CAST(100 - greatest(0, decided - requested) AS INTEGER)
         ELSE requested END AS auth_requested_date,
       CASE WHEN status <> 'Cancelled' THEN decided + 100 ELSE decided END AS auth_decision_date FROM auths""",
-    "table_merge_update": f"""SELECT p.doc_id, p.parse_error_status,
-      CASE WHEN {DOC_NO} % 3 <> 0 AND p.payer_code IS NOT NULL THEN p.payer_code
+    "table_merge_update": """SELECT p.doc_id, p.parse_error_status,
+      CASE WHEN p.unreadable_flag AND p.payer_code IS NOT NULL THEN p.payer_code
         ELSE lower(d.payer_code) END AS payer_code
       FROM parsed p LEFT JOIN docs d ON d.doc_id = p.doc_id""",
     "table_ensure_columns": "SELECT doc_id, payer_code, CAST(NULL AS VARCHAR) AS urgency FROM docs",
@@ -364,9 +361,9 @@ TABLES = {
     "backfill_urgency": "SELECT CASE WHEN h % 10 < 3 THEN 'urgent' ELSE 'standard' END AS urgency,"
     f" {N} AS rows FROM ({abs_hash('SELECT auth_id FROM auths', 'h', 'auth_id', 16)}) GROUP BY 1",
     "backfill_call_timings": f"""SELECT call_id,
-      CASE WHEN {CALL_NO} % 2 = 0 THEN wait_seconds ELSE 60 + hw % 540 END AS wait_seconds,
-      CASE WHEN {CALL_NO} % 2 = 0 THEN handle_seconds ELSE 180 + hh2 % 1620 END AS handle_seconds,
-      CASE WHEN {CALL_NO} % 2 = 0 THEN fcr_flag ELSE hf % 100 < 70 END AS fcr_flag
+      CASE WHEN fcr_flag THEN wait_seconds ELSE 60 + hw % 540 END AS wait_seconds,
+      CASE WHEN fcr_flag THEN handle_seconds ELSE 180 + hh2 % 1620 END AS handle_seconds,
+      CASE WHEN fcr_flag THEN fcr_flag ELSE hf % 100 < 70 END AS fcr_flag
       FROM ({abs_hash(abs_hash(abs_hash("SELECT * FROM ops", "hw", "call_id || 'wait'", 20),
                                "hh2", "call_id || 'handle'", 22), "hf", "call_id || 'fcr'", 19)})""",
     "overlay_call_ts": "SELECT call_id, DATE '2024-06-30' - CAST(h % 30 AS INTEGER) AS call_day"

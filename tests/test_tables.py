@@ -122,3 +122,46 @@ def test_comments_name_known_columns():
     for table, comments in COLUMN_COMMENTS.items():
         assert set(comments) <= set(SCHEMAS[table].fieldNames())
     assert set(TABLE_COMMENTS) <= set(SCHEMAS)
+
+
+def test_tables_with_text_dates(spark, reg, tmp_path):
+    docs = reg.table("clinical_document")
+    stamps = [f.name for f in docs.schema.fields if f.dataType == T.TimestampType()]
+    text = docs.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") for c in stamps})
+    text.write.parquet(f"{tmp_path}/clinical_document.parquet")
+    stored = Registry.from_folder(spark, str(tmp_path), ["clinical_document"], text_dates=True)
+    from caselight.plans.views import intake_daily
+
+    assert rows(intake_daily(stored)) == rows(intake_daily(reg))
+
+
+class _Fake:
+    """Just enough of a session to ask for its folder."""
+
+    def __init__(self, master, folder=None):
+        self.conf = type("C", (), {"get": lambda _s, _k, default: folder or default})()
+        self.sparkContext = type("S", (), {"master": master, "applicationId": "app-test"})()
+
+
+def test_shared_folder_comes_from_the_cluster(tmp_path):
+    from caselight.session import shared_dir
+
+    assert shared_dir(_Fake("spark://x", "hdfs://shared/dir/")) == "hdfs://shared/dir"
+    with pytest.raises(RuntimeError):
+        shared_dir(_Fake("spark://x"))
+    local = shared_dir(_Fake("local[2]"))
+    assert local == shared_dir(_Fake("local[2]"))
+
+
+def test_materialized_tables_can_be_cleared(spark):
+    from caselight import session as S
+
+    kept = dict(S._written)
+    S._written.clear()
+    try:
+        df = S.materialize(spark.range(5), "probe")
+        assert df.count() == 5 and df.inputFiles()
+        path = S._written[spark.sparkContext.applicationId][0]
+        assert S.clear_materialized(spark) == 1 and not Tb.table_exists(spark, path)
+    finally:
+        S._written.update(kept)
