@@ -12,7 +12,7 @@ from caselight.plans import views as V
 from caselight.plans.catalog import BATCH_QUERIES
 from caselight.sources.registry import Registry
 from caselight.sources.schemas import SCHEMAS
-from conftest import rows, same
+from conftest import same
 
 
 def day(n, hour=0):
