@@ -7,6 +7,7 @@ changes nothing more.
 from __future__ import annotations
 
 from datetime import date
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from caselight.functions.exprs import PAYER_CODES, bucket, days_between, pick, plus_minutes, spread_ts
 from caselight.sources.tables import append_missing, ensure_columns, merge_update, update_where
 
+if TYPE_CHECKING:
+    from caselight.sources.registry import Registry
+
 # The payer dimension.
 PAYER_ROWS = (
     ("NORTHWAVE", "Northwave Health", "commercial"),
@@ -119,3 +123,34 @@ def overlay_call_ts(timings: DataFrame, as_of: date, days: int = 30) -> DataFram
         F.col("synthetic_call_ts").isNull(),
         {"synthetic_call_ts": spread_ts(F.col("call_id"), F.lit(as_of), days)},
     )
+
+
+# The same backfills over all tables of a registry ---------------------------------
+
+
+def backfill_payers(reg: Registry) -> Registry:
+    """Payer and urgency where missing, then the payer cascade to the stage tables."""
+    out = reg.copy()
+    out.put("clinical_document", assign_payer(reg.raw("clinical_document"), "doc_id"))
+    out.put("authorization", assign_urgency(assign_payer(reg.raw("authorization"), "auth_id")))
+    for name in STAGE_LAG:
+        out.put(name, cascade_payer(reg.raw(name), out.raw("clinical_document")))
+    return out
+
+
+def backfill_timings(reg: Registry, generated_at: Column) -> Registry:
+    out = reg.copy()
+    timings = add_call_timings(reg.raw("call_ops_supplemental"), reg.raw("mv_call_scores"), generated_at)
+    out.put("call_ops_supplemental", timings)
+    return out
+
+
+def spread_dates(reg: Registry, as_of: date, loaded_on: date) -> Registry:
+    """Documents, stages, decisions and call times moved into the window before ``as_of``."""
+    out = reg.copy()
+    out.put("clinical_document", spread_documents(reg.raw("clinical_document"), as_of, loaded_on))
+    for name in STAGE_LAG:
+        out.put(name, cascade_stage_ts(reg.raw(name), name, out.raw("clinical_document"), loaded_on))
+    out.put("authorization", shift_decisions(reg.raw("authorization"), as_of))
+    out.put("call_ops_supplemental", overlay_call_ts(reg.raw("call_ops_supplemental"), as_of))
+    return out

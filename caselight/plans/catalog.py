@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions import exprs as X
@@ -216,13 +216,19 @@ def table_ensure_columns(reg: Registry) -> DataFrame:
     return ensure_columns(docs, {"payer_code": "string", "urgency": "string"})
 
 
+def _stages(reg: Registry, pick: Callable[[str], Column]) -> DataFrame:
+    """One column of the documents and the four stage tables, under each other."""
+    return _union(
+        [
+            reg.raw(n).select(F.lit(n).alias("table_name"), pick(n))
+            for n in ("clinical_document", *Mt.STAGE_LAG)
+        ]
+    )
+
+
 def backfill_payer(reg: Registry) -> DataFrame:
     """Rows per payer after hash assignment on documents and the cascade to the stage tables."""
-    docs = Mt.assign_payer(reg.raw("clinical_document"), "doc_id").select("doc_id", "payer_code")
-    out = docs.select(F.lit("clinical_document").alias("table_name"), "payer_code")
-    for name in Mt.STAGE_LAG:
-        stage = Mt.cascade_payer(reg.raw(name), docs)
-        out = out.unionByName(stage.select(F.lit(name).alias("table_name"), "payer_code"))
+    out = _stages(Mt.backfill_payers(reg), lambda _n: F.col("payer_code"))
     return out.groupBy("table_name", "payer_code").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -239,13 +245,11 @@ def backfill_call_timings(reg: Registry) -> DataFrame:
 
 def spread_documents(reg: Registry) -> DataFrame:
     """Rows per day and stage after one intake day is spread over ninety days."""
-    day0 = date(2024, 1, 10)
-    docs = Mt.spread_documents(reg.raw("clinical_document"), AS_OF, day0)
-    out = docs.select(F.lit("clinical_document").alias("table_name"), F.col("ingestion_timestamp").alias("ts"))
-    for name, (col, _) in Mt.STAGE_LAG.items():
-        stage = Mt.cascade_stage_ts(reg.raw(name), name, docs, day0)
-        out = out.unionByName(stage.select(F.lit(name).alias("table_name"), F.col(col).alias("ts")))
-    return out.groupBy("table_name", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    column = {"clinical_document": "ingestion_timestamp", **{n: c for n, (c, _) in Mt.STAGE_LAG.items()}}
+    out = _stages(
+        Mt.spread_dates(reg, AS_OF, date(2024, 1, 10)), lambda n: F.to_date(column[n]).alias("day")
+    )
+    return out.groupBy("table_name", "day").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def shift_decisions(reg: Registry) -> DataFrame:
@@ -308,7 +312,17 @@ def reference_report(reg: Registry) -> DataFrame:
     return out
 
 
+def grants_for_seen_payers(reg: Registry) -> DataFrame:
+    """Grant one user every payer that owns a document."""
+    seen = reg.raw("clinical_document").where(F.col("payer_code").isNotNull()).select("payer_code").distinct()
+    grants = G.grant_all(
+        reg.raw("payer_access_mapping"), "two@example.org", seen, F.lit(AS_OF).cast("timestamp"), "query"
+    )
+    return grants.select("user_email", "payer_id")
+
+
 GOVERNANCE_QUERIES: dict[str, Query] = {
+    "grants_for_seen_payers": grants_for_seen_payers,
     "row_filter_intake": _as_user("two@example.org", V.intake_daily),
     "row_filter_match_ranked": _as_user("two@example.org", V.match_detail_ranked),
     "row_filter_payer_mix_all": _as_user("all@example.org", V.payer_mix),

@@ -56,10 +56,12 @@ class Registry:
         user: str | None = None,
         prefix: str = "",
         text_dates: bool = False,
+        fmt: str = "parquet",
     ) -> Registry:
-        """Tables stored as ``<folder>/<name>.parquet``."""
+        """Tables stored as ``<folder>/<name>.<fmt>``."""
         loaders = {
-            n: partial(lambda reg, name: read_table(reg.spark, folder, name, text_dates), name=n) for n in names
+            n: partial(lambda reg, name: read_table(reg.spark, folder, name, text_dates, fmt), name=n)
+            for n in names
         }
         return cls(spark, loaders, user, prefix)
 
@@ -93,6 +95,11 @@ class Registry:
         other._raw = self._raw
         return other
 
+    def copy(self) -> Registry:
+        """A registry whose tables start as these and can be replaced on their own."""
+        loaders = {n: (lambda _reg, name=n: self.raw(name)) for n in self._loaders}
+        return Registry(self.spark, loaders, self.user, self.prefix)
+
     def publish(self, names=None) -> list[str]:
         """Register tables as temp views under the prefix."""
         return [register_view(self.table(n), n, self.prefix) for n in (names or self.names())]

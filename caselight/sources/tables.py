@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,23 +12,50 @@ from pyspark.sql import types as T
 from caselight.sources.schemas import COLUMN_COMMENTS, SCHEMAS
 
 
-def read_table(spark: SparkSession, folder: str, name: str, text_dates: bool = False) -> DataFrame:
-    """One parquet table of the model, under its declared schema.
+def read_table(
+    spark: SparkSession, folder: str, name: str, text_dates: bool = False, fmt: str = "parquet"
+) -> DataFrame:
+    """One table of the model, stored as ``<folder>/<name>.<fmt>``, under its declared schema.
 
-    ``text_dates`` reads files whose dates and timestamps are ISO text.
+    ``text_dates`` reads files whose dates and timestamps are ISO text.  A
+    format that keeps its own schema (such as delta, where its jar is present)
+    is cast to the declared one as well.
     """
-    path = f"{folder}/{name}.parquet"
-    df = typed(spark.read.parquet(path), SCHEMAS[name]) if text_dates else spark.read.schema(SCHEMAS[name]).parquet(path)
+    path = f"{folder}/{name}.{fmt}"
+    if text_dates or fmt != "parquet":
+        df = typed(spark.read.format(fmt).load(path), SCHEMAS[name])
+    else:
+        df = spark.read.schema(SCHEMAS[name]).parquet(path)
     return with_comments(df, COLUMN_COMMENTS.get(name, {}))
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
+    df.write.format(fmt).mode("errorifexists").partitionBy(*partition_by).save(path)
+
+
+def overwrite_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Replace data and schema of a table that ``df`` does not read."""
+    df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").save(path)
 
 
-def overwrite_table(df: DataFrame, path: str) -> None:
-    """Replace data and schema of a table."""
-    df.write.mode("overwrite").parquet(path)
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replace a stored table by rows derived from it.
+
+    The new rows are complete beside the table before it is swapped, so a
+    failed job leaves the old table as it was.
+    """
+    spark = df.sparkSession
+    fresh, old = f"{path}.next-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    here, new, backup = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, old))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(here) and not fs.rename(here, backup):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, here):
+        fs.rename(backup, here)
+        raise OSError(f"cannot put the new table at {path}")
+    fs.delete(backup, True)
+    spark.catalog.refreshByPath(path)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, comment: str = "") -> None:

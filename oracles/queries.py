@@ -188,9 +188,8 @@ QUESTIONS = {
     f" {half_up('SUM(CAST(round(compliance_rate * 10000000000.0::DOUBLE) AS BIGINT))', 'COUNT(*) * 10000000000', 2, 100)}"
     " AS avg_compliance_pct FROM comp WHERE day >= date_trunc('month', (SELECT max(day) FROM comp))"
     " GROUP BY 1 HAVING AVG(compliance_rate) < 0.85",
-    "q32_top_ranked_rows": "SELECT agent_name, agent_avg_score, agent_call_count FROM ("
-    "SELECT agent_name, agent_avg_score, agent_call_count, RANK() OVER (ORDER BY agent_avg_score DESC) AS rk"
-    " FROM v_calls WHERE agent_call_count >= 20) WHERE rk <= 10",
+    "q32_top_ranked_rows": "SELECT agent_name, agent_avg_score, agent_call_count FROM v_calls"
+    " WHERE agent_call_count >= 20 QUALIFY RANK() OVER (ORDER BY agent_avg_score DESC) <= 10",
     "q33_top_agents": AGENTS + "n_calls FROM calls GROUP BY 1, 2 HAVING COUNT(*) >= 20"
     " ORDER BY avg_score DESC, agent_name, agency_name LIMIT 10",
     "q34_fcr_by_agency": metric("call_ops", ["agency_name"], {"fcr_pct": "fcr"}),
@@ -410,6 +409,9 @@ def keyed(table: str, col: str, name: str) -> str:
 
 
 GOVERNANCE = {
+    "grants_for_seen_payers": "SELECT 'all@example.org' AS user_email, payer_code AS payer_id FROM payers"
+    " UNION SELECT 'two@example.org', payer_code FROM payers WHERE payer_code IN ('NORTHWAVE', 'METRIDIAN')"
+    " UNION SELECT 'two@example.org', payer_code FROM docs WHERE payer_code IS NOT NULL",
     "key_report": " UNION ALL ".join(
         [
             keyed("docs", "member_id", "clinical_document_member"),

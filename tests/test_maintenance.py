@@ -99,3 +99,21 @@ def test_overlay_fills_blanks_only(spark):
     assert rows(M.overlay_call_ts(once, AS_OF)) == rows(once)
     bare = M.overlay_call_ts(df.drop("synthetic_call_ts"), AS_OF)
     assert bare.where("synthetic_call_ts IS NULL").count() == 0
+
+
+def test_backfills_over_a_registry_leave_the_original_alone(reg):
+    bare = reg.copy()
+    for name in ("clinical_document", "authorization", *M.STAGE_LAG):
+        bare.put(name, reg.raw(name).drop("payer_code", "urgency"))
+    full = M.backfill_payers(bare)
+    assert full.table("authorization").where("payer_code IS NULL OR urgency IS NULL").count() == 0
+    assert full.table("clinical_doc_parsed").where("payer_code IS NULL").count() == 0
+    assert "payer_code" not in bare.table("clinical_document").columns
+    assert reg.table("clinical_document").where("payer_code IS NULL").count() > 0
+    moved = M.spread_dates(full, AS_OF, LOADED)
+    days = moved.table("clinical_doc_parsed").agg(F.max(F.to_date("ingest_ts"))).first()[0]
+    assert days > dt.date(2024, 4, 1)
+    held = reg.copy()
+    held.put("call_ops_supplemental", reg.raw("call_ops_supplemental").where("fcr_flag"))
+    timed = M.backfill_timings(held, F.lit(dt.datetime(2024, 6, 30)))
+    assert timed.table("call_ops_supplemental").count() == reg.table("mv_call_scores").count()

@@ -165,3 +165,21 @@ def test_materialized_tables_can_be_cleared(spark):
         assert S.clear_materialized(spark) == 1 and not Tb.table_exists(spark, path)
     finally:
         S._written.update(kept)
+
+
+def test_stored_table_is_replaced_by_its_own_update(spark, tmp_path):
+    path = f"{tmp_path}/payer_dim.parquet"
+    dim = spark.createDataFrame([("A", "a", "old", True, None), ("B", "b", "old", True, None)], SCHEMAS["payer_dim"])
+    Tb.write_table(dim, path)
+    stored = Tb.read_table(spark, str(tmp_path), "payer_dim")
+    Tb.replace_table(Tb.update_where(stored, F.col("payer_code") == "A", {"payer_type": F.lit("new")}), path)
+    again = Tb.read_table(spark, str(tmp_path), "payer_dim")
+    assert [(r.payer_code, r.payer_type) for r in again.orderBy("payer_code").collect()] == [("A", "new"), ("B", "old")]
+    assert [p.name for p in tmp_path.iterdir()] == ["payer_dim.parquet"]
+
+
+def test_other_formats(spark, tmp_path):
+    dim = spark.createDataFrame([("A", "a", "x", True, None)], SCHEMAS["payer_dim"])
+    Tb.write_table(dim, f"{tmp_path}/payer_dim.orc", fmt="orc")
+    stored = Registry.from_folder(spark, str(tmp_path), ["payer_dim"], fmt="orc")
+    assert rows(stored.table("payer_dim")) == rows(dim)

@@ -67,6 +67,13 @@ def test_payer_rows_add_up_to_the_global_view(reg):
     same(summed, V.intake_daily(reg).select("intake_date", *counts))
 
 
+def test_document_counts_of_a_unique_key(reg):
+    same(V.payer_mix(reg, documents="rows"), V.payer_mix(reg))
+    exact = {r.payer_code: r.total_documents for r in V.payer_mix(reg).collect()}
+    for r in V.payer_mix(reg, documents="approx").collect():
+        assert abs(r.total_documents - exact[r.payer_code]) <= 0.2 * exact[r.payer_code]
+
+
 def candidate(doc, weight=1.0, cls="non_match"):
     return {"doc_id": doc, "candidate_member_id": "m", "total_weight": weight, "match_class": cls}
 
@@ -113,6 +120,18 @@ def test_ranked_detail_equals_plain_windows(reg, cells_per_task):
     same(V.match_detail_ranked(reg, cells_per_task), plain_match_ranks(reg))
 
 
+def test_lookups_above_the_broadcast_bound_give_the_same_rows(reg, spark, monkeypatch):
+    expected = V.match_detail_ranked(reg), V.call_scores(reg)
+    monkeypatch.setattr(V.R, "sized", lambda df, **_: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for plain, df in zip((V.match_detail_ranked(reg), V.call_scores(reg)), expected):
+            assert "Broadcast" not in plain._jdf.queryExecution().executedPlan().toString()
+            same(plain, df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_call_scores_do_not_depend_on_the_split(reg):
     base = V.call_scores(reg)
     same(V.call_scores(reg, hot_rows=25, cells_per_task=7), base)
