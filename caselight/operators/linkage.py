@@ -132,7 +132,9 @@ def best_links(
         .groupBy("_set", *k)
         .agg(F.min(target_key).alias("_hit"))
     )
-    hits = balanced_lookup(probes, index, ["_set", *k], doc_key, hot_rows, fraction)
+    looked_up = balanced_lookup(probes, index, ["_set", *k], doc_key, hot_rows, fraction)
+    # Misses need not travel to their document, but for one row that keeps it.
+    hits = looked_up.where(F.col("_hit").isNotNull() | (F.col("_set") == F.col("_there")))
     score = F.struct((-_total(fields, F.col("_set"), F.col("_there"))).alias("neg"), "_hit", "_set")
     scored = hits.groupBy(doc_key).agg(
         F.min(F.when(F.col("_hit").isNotNull(), score)).alias("_best"),
