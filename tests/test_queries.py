@@ -6,8 +6,9 @@ import __spark_entry__ as entry
 from tools.check import compare, connect
 
 FORBIDDEN = ("Python", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin", "MapInPandas")
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+OWN = set(entry.catalog.BATCH_QUERIES) | set(entry.catalog.STREAM_QUERIES)
+QUERIES = {k: v for k, v in entry.queries().items() if k in OWN}
+ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in OWN}
 
 
 @pytest.fixture(scope="module")
