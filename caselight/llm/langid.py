@@ -7,6 +7,7 @@ characters, else of the next length, and so on down to single characters; a word
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -50,11 +51,14 @@ class Model:
             cells[kind, token][at[lang]] = n
             total[kind][at[lang]] += n
         kinds = Counter(kind for kind, _ in cells)
-        for (kind, token), seen in cells.items():
-            self.table[kind, token] = [
+        rows: dict[tuple[float, ...], tuple[float, ...]] = {}  # rare tokens share few different rows
+        for kind, token in list(cells):
+            seen = cells.pop((kind, token))
+            row = tuple(
                 math.log((seen.get(i, 0) + SMOOTH) / (t + SMOOTH * (kinds[kind] + 1)))
                 for i, t in enumerate(total[kind])
-            ]
+            )
+            self.table[kind, token] = rows.setdefault(row, row)
         self._unseen: dict[str, list[float] | None] = {}
 
     def _backoff(self, word: str) -> list[float] | None:
@@ -93,9 +97,10 @@ def _count_tokens(lengths: tuple[int, ...], chars: int):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word, n in words(text[:chars]).items():
                     seen[lang, 0, word] += n
-                    for k in lengths:
-                        for g in grams(word, k):
-                            seen[lang, k, g] += n
+            for (lang, _, word), n in list(seen.items()):
+                for k in lengths:
+                    for g in grams(word, k):
+                        seen[lang, k, g] += n
             if seen:
                 keys = zip(*seen, strict=True)
                 cols = [pa.array(c, t) for c, t in zip(keys, (pa.string(), pa.int32(), pa.string()), strict=True)]
@@ -111,11 +116,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, lengths: tuple[int, ...] = GRAMS) -> Model:
-    """Model of the labelled documents that are not held out.
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, lengths: tuple[int, ...] = GRAMS) -> pa.Table:
+    """Counts (lang, kind, token, n) of the labelled documents that are not held out, of which tasks make a model.
 
     At most about ``sample_docs`` documents a language are read, chosen by a hash of their id, so the model
-    and what reaches the driver are bounded.  Rows without id, lang or text are not learned from.
+    and what reaches the driver are bounded; it passes the driver as Arrow columns, not as Python objects.
+    Rows without id, lang or text are not learned from.
     """
     rows = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.where(~held_out())
@@ -131,17 +137,34 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, lengths: tuple[int, .
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= MIN_COUNT)
     )
-    return Model((tuple(r) for r in counts.collect()), lengths)
+    return counts.toArrow()
 
 
-def language(docs: DataFrame, model: Model, text: str = "text") -> Column:
+_models: dict[bytes, Model] = {}
+
+
+def _model(counts: bytes) -> Model:
+    """The model of serialized counts, made once in each Python worker."""
+    key = hashlib.sha256(counts).digest()
+    if key not in _models:
+        _models.clear()
+        columns = pa.ipc.open_stream(counts).read_all()
+        _models[key] = Model(zip(*(c.to_pylist() for c in columns.columns), strict=True))
+    return _models[key]
+
+
+def language(docs: DataFrame, counts: pa.Table, text: str = "text") -> Column:
     """Struct of lang_pred and score for a text column; the text alone decides."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, counts.schema) as writer:
+        writer.write_table(counts)
+    sent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
-        found = [sent.value.predict(t) for t in texts.to_pylist()]
+        model = _model(sent.value)
+        found = [model.predict(t) for t in texts.to_pylist()]
         return pa.array([{"lang_pred": a, "score": b} for a, b in found], kind)
 
     return predict(F.col(text))
@@ -149,6 +172,6 @@ def language(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``docs`` with lang_pred and score, by a model trained on its own labelled rows."""
-    model = train(docs, sample_docs)
+    counts = train(docs, sample_docs)
     rest = docs.drop("lang_pred", "score")
-    return rest.withColumn("__found", language(rest, model)).select(*rest.columns, "__found.*")
+    return rest.withColumn("__found", language(rest, counts)).select(*rest.columns, "__found.*")
