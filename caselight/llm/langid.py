@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,28 +43,29 @@ class Model:
     """Log frequencies per language of words (kind 0) and of character n-grams (kind n)."""
 
     def __init__(self, counts: Iterable[tuple[str, int, str, int]], lengths: tuple[int, ...] = GRAMS):
-        counts = list(counts)
+        counts = sorted(counts, key=lambda c: (c[1], c[2]))
         self.langs = sorted({lang for lang, *_ in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.lengths, self.table, cells = lengths, {}, defaultdict(dict)
+        self.lengths, self.table = lengths, {kind: {} for kind in (0, *lengths)}
         total: dict[int, list[int]] = defaultdict(lambda: [0] * len(self.langs))
-        for lang, kind, token, n in counts:
-            cells[kind, token][at[lang]] = n
-            total[kind][at[lang]] += n
-        kinds = Counter(kind for kind, _ in cells)
+        kinds: Counter = Counter()
+        for (kind, _), group in groupby(counts, key=lambda c: (c[1], c[2])):
+            kinds[kind] += 1
+            for lang, _, _, n in group:
+                total[kind][at[lang]] += n
         rows: dict[tuple[float, ...], tuple[float, ...]] = {}  # rare tokens share few different rows
-        for kind, token in list(cells):
-            seen = cells.pop((kind, token))
+        for (kind, token), group in groupby(counts, key=lambda c: (c[1], c[2])):
+            seen = {at[lang]: n for lang, _, _, n in group}
             row = tuple(
                 math.log((seen.get(i, 0) + SMOOTH) / (t + SMOOTH * (kinds[kind] + 1)))
                 for i, t in enumerate(total[kind])
             )
-            self.table[kind, token] = rows.setdefault(row, row)
+            self.table[kind][token] = rows.setdefault(row, row)
         self._unseen: dict[str, list[float] | None] = {}
 
     def _backoff(self, word: str) -> list[float] | None:
         for n in self.lengths:
-            rows = [row for g in grams(word, n) if (row := self.table.get((n, g)))]
+            rows = [row for g in grams(word, n) if (row := self.table[n].get(g))]
             if rows:
                 return [sum(column) / len(rows) for column in zip(*rows, strict=True)]
         return None
@@ -75,10 +77,10 @@ class Model:
             return UNKNOWN, 0.0
         sums = [0.0] * len(self.langs)
         for word, n in found.items():
-            row = self.table.get((0, word))
+            row = self.table[0].get(word)
             if row is None:
                 if word not in self._unseen:
-                    if len(self._unseen) > 200_000:
+                    if len(self._unseen) > 50_000:
                         self._unseen.clear()
                     self._unseen[word] = self._backoff(word)
                 row = self._unseen[word]

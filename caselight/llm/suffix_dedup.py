@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ HOT_SAMPLE = 0.05  # share of documents that the search for such anchors reads
 HOT_LIST = 100_000  # anchors that list may hold (0.8 MB); the most frequent go first
 
 BLOCK = 1 << 17  # window starts that are hashed together
-FLUSH_SPANS = 1_500_000  # spans that a task combines at a time
-BUCKET_SPANS = 20_000  # spans whose suffixes are sorted together
+FLUSH_SPANS = 400_000  # spans that a task combines at a time
+BUCKET_SPANS = 8_000  # spans whose suffixes are sorted together
 
 _POS_BITS = 20
 _POS = np.uint64((1 << _POS_BITS) - 1)
@@ -133,7 +134,7 @@ def _span_rows(hasher: _Hasher, hot: np.ndarray, batches: Iterator[pa.RecordBatc
         texts = as_bytes(batch.column(2))
         todo, size = [], 0
         pieces = _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, hasher.min_bytes)
-        for piece in (*pieces, None):
+        for piece in chain(pieces, [None]):
             if piece is not None:
                 todo.append(piece)
                 size += len(piece[3])
