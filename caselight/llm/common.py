@@ -16,11 +16,23 @@ from caselight.session import materialize
 # Spark removes a statement's shuffle files when it ends, instead of when the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session cut by bytes, as texts may be of any length.
+
+    A batch is held by the JVM, by the Python worker and there once more as objects.
+    """
+    df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, freeing the shuffle files behind it."""
     conf = df.sparkSession.conf

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselight.llm.common import bounded_batches
+
 GRAMS = (5, 4, 3, 2, 1)
 SAMPLE_DOCS = 3_000  # labelled documents per language that the model is fitted on
 SAMPLE_CHARS = 20_000  # words of a training document beyond so many characters of it are not learned from
@@ -125,7 +127,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, lengths: tuple[int, .
     and what reaches the driver are bounded; it passes the driver as Arrow columns, not as Python objects.
     Rows without id, lang or text are not learned from.
     """
-    rows = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    rows = bounded_batches(docs).select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.where(~held_out())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0)

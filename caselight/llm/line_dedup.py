@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.common import as_bytes, stage, text_tag
+from caselight.llm.common import as_bytes, bounded_batches, stage, text_tag
 
 
 def units(text: bytes | None) -> list[tuple[int, int, bytes | None]]:
@@ -86,7 +86,7 @@ def remove_repeated_lines(docs: DataFrame, columns: tuple[str, ...] = tuple(_DDL
     Null and empty texts have no lines.  Documents of the same doc_id are not earlier than each other; rows
     without doc_id lose only their own inner repeats and make nothing else go.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc"), text_tag().alias("tag"), "text")
+    narrow = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc"), text_tag().alias("tag"), "text")
     lines = narrow.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(
         _digests, "hi long, lo long, doc long, tag long"
     )

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselight.llm.common import as_bytes, stage
+from caselight.llm.common import as_bytes, bounded_batches, stage
 from caselight.llm.components import connected_components
 
 SHINGLE = 3
@@ -152,7 +152,7 @@ def groups(
     Texts without words (null, empty, blank) have fingerprint zero and link like any other.  Rows that share a
     doc_id are one vertex each fingerprint.  A row without doc_id joins no group; its component is null.
     """
-    made = stage(docs.select("doc_id", fingerprint("text", shingle).alias("print")), "prints")
+    made = stage(bounded_batches(docs).select("doc_id", fingerprint("text", shingle).alias("print")), "prints")
     prints = stage(
         made.where("doc_id IS NOT NULL").groupBy("print").agg(F.min(F.col("doc_id").cast("long")).alias("node")), "nodes"
     )

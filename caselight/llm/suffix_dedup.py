@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.common import as_bytes, stage, text_tag
+from caselight.llm.common import as_bytes, bounded_batches, stage, text_tag
 
 MIN_BYTES = 50
 GRAM = 16
@@ -194,6 +194,7 @@ def _map_spans(min_bytes: int, gram: int, hot: np.ndarray):
                 size = 0
         if rows:
             yield _combined(rows)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -431,7 +432,7 @@ def remove_repeats(
     remaining bytes.  A null text is empty.  Texts shorter than ``min_bytes`` stay.  Rows that share a doc_id
     are not earlier than each other; rows without doc_id keep all their bytes and make nothing else go.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc"), text_tag().alias("tag"), "text")
+    narrow = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc"), text_tag().alias("tag"), "text")
     runs = repeated_runs(narrow, min_bytes, gram, hot_spans, sample)
     per_doc = runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "many")).alias("__runs"))
     wide = docs.select(

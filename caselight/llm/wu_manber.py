@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.common import as_bytes
+from caselight.llm.common import as_bytes, bounded_batches
 
 WINDOW = 13
 SHARE = 20  # a document is contaminated when 1 in SHARE of its words or more is hit
@@ -157,7 +157,7 @@ def benchmark_hits(
     total = part_rows.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = total // table_bytes + 1
     key = F.pmod(F.xxhash64("item", "words"), F.lit(parts))
-    out = docs.withColumn(name, F.lit(None).cast(_HITS_DDL))
+    out = bounded_batches(docs).withColumn(name, F.lit(None).cast(_HITS_DDL))
     for part in range(parts):
         items = [(r.item, r.words.encode()) for r in part_rows.where(key == part).collect()]
         out = out.withColumn(name, _search(items, window, block, F.col(text), F.col(name)))
