@@ -7,14 +7,13 @@ characters, else of the next length, and so on down to single characters; a word
 
 from __future__ import annotations
 
-import hashlib
-import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import groupby
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,34 +41,33 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language of words (kind 0) and of character n-grams (kind n)."""
-
-    def __init__(self, counts: Iterable[tuple[str, int, str, int]], lengths: tuple[int, ...] = GRAMS):
-        counts = sorted(counts, key=lambda c: (c[1], c[2]))
-        self.langs = sorted({lang for lang, *_ in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        self.lengths, self.table = lengths, {kind: {} for kind in (0, *lengths)}
-        total: dict[int, list[int]] = defaultdict(lambda: [0] * len(self.langs))
-        kinds: Counter = Counter()
-        for (kind, _), group in groupby(counts, key=lambda c: (c[1], c[2])):
-            kinds[kind] += 1
-            for lang, _, _, n in group:
-                total[kind][at[lang]] += n
-        rows: dict[tuple[float, ...], tuple[float, ...]] = {}  # rare tokens share few different rows
-        for (kind, token), group in groupby(counts, key=lambda c: (c[1], c[2])):
-            seen = {at[lang]: n for lang, _, _, n in group}
-            row = tuple(
-                math.log((seen.get(i, 0) + SMOOTH) / (t + SMOOTH * (kinds[kind] + 1)))
-                for i, t in enumerate(total[kind])
-            )
-            self.table[kind][token] = rows.setdefault(row, row)
-        self._unseen: dict[str, list[float] | None] = {}
-
-    def _backoff(self, word: str) -> list[float] | None:
+    """Log frequencies per language of words (kind 0) and of character n-grams (kind n), as rows of one matrix."""
+
+    def __init__(self, counts: pa.Table, lengths: tuple[int, ...] = GRAMS):
+        """``counts`` has (lang, kind, token, n)."""
+        counts = counts.sort_by([("kind", "ascending"), ("token", "ascending")]).combine_chunks()
+        self.langs = sorted(set(counts["lang"].to_pylist()))
+        kind, n = counts["kind"].to_numpy(), counts["n"].to_numpy()
+        lang = pc.index_in(counts["lang"], pa.array(self.langs, pa.string())).to_numpy()
+        token = counts["token"]
+        same = pc.equal(token.slice(1), token.slice(0, max(len(token) - 1, 0))).to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], ~same | (kind[1:] != kind[:-1])])[: len(kind)])
+        seen = np.zeros((len(head), len(self.langs)))
+        seen[np.searchsorted(head, np.arange(len(kind)), "right") - 1, lang] = n
+        self.lengths, self.table = lengths, {k: {} for k in (0, *lengths)}
+        for k in np.unique(kind).tolist():
+            own = np.flatnonzero(kind[head] == k)
+            total = seen[own].sum(axis=0)
+            seen[own] = np.log((seen[own] + SMOOTH) / (total + SMOOTH * (len(own) + 1)))
+            self.table[k] = dict(zip(token.take(pa.array(head[own])).to_pylist(), own.tolist(), strict=True))
+        self.rows = seen
+        self._unseen: dict[str, np.ndarray | None] = {}
+
+    def _backoff(self, word: str) -> np.ndarray | None:
         for n in self.lengths:
-            rows = [row for g in grams(word, n) if (row := self.table[n].get(g))]
-            if rows:
-                return [sum(column) / len(rows) for column in zip(*rows, strict=True)]
+            known = [row for g in grams(word, n) if (row := self.table[n].get(g)) is not None]
+            if known:
+                return self.rows[known].mean(axis=0)
         return None
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -77,21 +75,38 @@ class Model:
         found = words(text)
         if not found or not self.langs:
             return UNKNOWN, 0.0
-        sums = [0.0] * len(self.langs)
+        sums, known, times, lookup = np.zeros(len(self.langs)), [], [], self.table[0].get
         for word, n in found.items():
-            row = self.table[0].get(word)
-            if row is None:
-                if word not in self._unseen:
-                    if len(self._unseen) > 50_000:
-                        self._unseen.clear()
-                    self._unseen[word] = self._backoff(word)
-                row = self._unseen[word]
+            row = lookup(word)
             if row is not None:
-                for i, x in enumerate(row):
-                    sums[i] += n * x
-        top = max(sums)
-        share = 1 / sum(math.exp(x - top) for x in sums)
-        return self.langs[sums.index(top)], share
+                known.append(row)
+                times.append(n)
+                continue
+            if word not in self._unseen:
+                if len(self._unseen) > 20_000:
+                    self._unseen.clear()
+                self._unseen[word] = self._backoff(word)
+            if self._unseen[word] is not None:
+                sums += n * self._unseen[word]
+        if known:
+            sums += np.array(times) @ self.rows[known]
+        top = int(sums.argmax())
+        return self.langs[top], float(1 / np.exp(sums - sums[top]).sum())
+
+
+class Counts:
+    """Counts as they are sent to the tasks; the model is made of them once in each Python worker."""
+
+    def __init__(self, counts: pa.Table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, counts.schema) as writer:
+            writer.write_table(counts)
+        self.sent, self.made = sink.getvalue().to_pybytes(), None
+
+    def model(self) -> Model:
+        if self.made is None:
+            self.made = Model(pa.ipc.open_stream(self.sent).read_all())
+        return self.made
 
 
 def _count_tokens(lengths: tuple[int, ...], chars: int):
@@ -144,30 +159,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, lengths: tuple[int, .
     return counts.toArrow()
 
 
-_models: dict[bytes, Model] = {}
-
-
-def _model(counts: bytes) -> Model:
-    """The model of serialized counts, made once in each Python worker."""
-    key = hashlib.sha256(counts).digest()
-    if key not in _models:
-        _models.clear()
-        columns = pa.ipc.open_stream(counts).read_all()
-        _models[key] = Model(zip(*(c.to_pylist() for c in columns.columns), strict=True))
-    return _models[key]
-
-
 def language(docs: DataFrame, counts: pa.Table, text: str = "text") -> Column:
     """Struct of lang_pred and score for a text column; the text alone decides."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, counts.schema) as writer:
-        writer.write_table(counts)
-    sent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    sent = docs.sparkSession.sparkContext.broadcast(Counts(counts))
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
-        model = _model(sent.value)
+        model = sent.value.model()
         found = [model.predict(t) for t in texts.to_pylist()]
         return pa.array([{"lang_pred": a, "score": b} for a, b in found], kind)
 

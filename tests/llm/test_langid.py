@@ -20,7 +20,9 @@ def test_only_training_rows_teach(docs, spark):
 
 
 def test_words_first_then_shorter_ngrams():
-    model = G.Model([("en", 0, "the", 5), ("de", 0, "der", 5), ("de", 3, "sch", 4), ("en", 2, "wh", 4), ("de", 1, "z", 2)])
+    counts = [("en", 0, "the", 5), ("de", 0, "der", 5), ("de", 3, "sch", 4), ("en", 2, "wh", 4), ("de", 1, "z", 2)]
+    columns = [G.pa.array(c) for c in zip(*counts)]
+    model = G.Model(G.pa.table(columns, ["lang", "kind", "token", "n"]))
     assert model.predict("The the")[0] == "en" and model.predict("der")[0] == "de"
     assert model.predict("schwhz")[0] == "de"  # the longest known n-gram decides
     assert model.predict("whz")[0] == "en" and model.predict("z")[0] == "de"
