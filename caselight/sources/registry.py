@@ -85,14 +85,15 @@ class Registry:
         return self._seen[name]
 
     def put(self, name: str, df: DataFrame) -> None:
-        """Add or replace a table."""
+        """Add or replace a table; tables that were derived before are built anew when next asked for."""
         self._loaders[name] = lambda _reg: df
-        self._raw.pop(name, None)
-        self._seen.pop(name, None)
+        self._raw.clear()
+        self._seen.clear()
 
     def as_user(self, user: str | None) -> Registry:
+        """The same tables for another user; a later ``put`` on either registry leaves the other as it is."""
         other = Registry(self.spark, self._loaders, user, self.prefix)
-        other._raw = self._raw
+        other._raw = dict(self._raw)
         return other
 
     def copy(self) -> Registry:
