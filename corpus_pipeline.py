@@ -30,13 +30,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that an earlier document has are cut out; a character that was cut through goes whole."""
-    keep = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    cut = suffix_dedup.remove_repeats(docs, columns=("kept",), keep=keep)
-    text = F.when(F.is_valid_utf8("kept_text"), F.col("kept_text")).otherwise(
-        F.regexp_replace(F.make_valid_utf8("kept_text"), "�", "")
+    inner = {c: f"__in_{c}" for c in docs.columns if c not in ("doc_id", "text", "n_chars")}
+    cut = suffix_dedup.remove_repeats(
+        docs.withColumnsRenamed(inner), columns=("kept",), keep=("doc_id", *inner.values())
+    ).withColumn("kept", F.col("kept").cast("string"))
+    text = F.when(F.is_valid_utf8("kept"), F.col("kept")).otherwise(
+        F.regexp_replace(F.make_valid_utf8("kept"), "\ufffd", "")
     )
-    cut = cut.withColumn("kept_text", F.col("kept").cast("string")).withColumn("text", text)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select(*[F.col(inner[c]).alias(c) if c in inner else F.col(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
