@@ -47,6 +47,14 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
             conf.set(CLEANUP, before)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete the folder of a staged table that no later statement reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string array, without decoding."""
     if isinstance(column, pa.ChunkedArray):
