@@ -2,7 +2,9 @@
 
 A daily base is additive, so each micro-batch writes its own partial sums to a
 folder named by the batch id.  Replaying a batch overwrites its folder, late
-documents simply add to their day, and no state has to be kept.  Lags and
+documents simply add to their day, and no state has to be kept.  The first
+batch of a fresh checkpoint replaces the whole sink, as it counts its source
+anew: a sink belongs to one source, which has to be complete then.  Lags and
 rolling means run in batch over the few daily rows.
 """
 
@@ -35,7 +37,13 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
 
 def _per_batch(stream: DataFrame, sink: str, checkpoint: str, partial: BatchFn) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
-        partial(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        rows = partial(batch)
+        if batch_id == 0:
+            # A fresh checkpoint reads its source from the start, perhaps cut otherwise: older sums would count twice.
+            whole = rows.withColumn("batch", F.lit(0)).write.mode("overwrite").partitionBy("batch")
+            whole.option("partitionOverwriteMode", "static").parquet(sink)
+        else:
+            rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -39,6 +39,16 @@ def test_replayed_batch_does_not_count_twice(spark, split_events, tmp_path):
     assert rows(St.intake_base(spark, sink)) == once
 
 
+def test_fresh_checkpoint_with_other_batches_counts_once(spark, reg, split_events, tmp_path):
+    sink = f"{tmp_path}/sink"
+    St.intake_stream(stream(spark, split_events), sink, f"{tmp_path}/state-a").awaitTermination()
+    all_at_once = Fx.document_projection(St.read_stream(spark, split_events, "events"))
+    St.intake_stream(all_at_once, sink, f"{tmp_path}/state-b").awaitTermination()
+    assert spark.read.parquet(sink).select("batch").distinct().count() == 1
+    columns = St.intake_base(spark, sink).columns
+    same(St.intake_base(spark, sink), V.intake_daily(reg).select(*columns))
+
+
 def test_cascade_takes_the_newest_update(spark):
     table = spark.createDataFrame([("d1", None), ("d2", "kept"), ("d3", None)], "doc_id string, payer_code string")
     updates = spark.createDataFrame(
