@@ -39,18 +39,18 @@ def test_line_dedup_spans(spark):
     assert by[2].kept_sha256 == hashlib.sha256(b"x\nnew").hexdigest() and by[2].bytes_removed == 8
 
 
-@pytest.mark.parametrize("send", [0, 10**9])
-def test_scores(spark, odd, none, send):
+@pytest.mark.parametrize(("send", "send_pairs"), [(0, 0), (10**9, 10**9), (0, 10**9), (4, 4)])
+def test_scores(spark, odd, none, send, send_pairs):
     df = spark.createDataFrame([(1, "a b a b"), (2, "A c"), (3, None), (4, " "), (5, "d")], "doc_id long, text string")
-    by = {r.doc_id: r for r in ngram_lm.score(df, send=send).collect()}
+    by = {r.doc_id: r for r in ngram_lm.score(df, send=send, send_pairs=send_pairs).collect()}
     from math import log10
 
     # c(a)=3, c(b)=2, N=7; only the pair a b is met twice
     assert by[1].log10_score == pytest.approx(log10(3 / 7) + 2 * log10(2 / 3) + log10(0.4 * 3 / 7))
     assert by[2].log10_score == pytest.approx(log10(3 / 7) + log10(0.4 / 7)) and by[2].n_backed_off == 1
     assert by[3].n_words == 0 and by[4].log10_per_word is None and by[5].log10_score == pytest.approx(log10(1 / 7))
-    assert ngram_lm.score(odd, send=send).count() == odd.select("doc_id").distinct().count()
-    assert ngram_lm.score(none, send=send).count() == 0
+    assert ngram_lm.score(odd, send=send, send_pairs=send_pairs).count() == odd.select("doc_id").distinct().count()
+    assert ngram_lm.score(none, send=send, send_pairs=send_pairs).count() == 0
 
 
 def test_chat_collapse(spark):
