@@ -428,18 +428,9 @@ def stream_intake(reg: Registry, sf_dir: str) -> DataFrame:
 
 
 def stream_intake_windows(reg: Registry, sf_dir: str) -> DataFrame:
-    """Days the watermark has closed by the end of the input."""
     sink, state = _paths(reg, "stream-windows")
-    windows = St.intake_windows(_doc_stream(reg, sf_dir), "2 hours")
-    (
-        windows.writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return reg.spark.read.schema(windows.schema).parquet(sink)
+    St.intake_windows(_doc_stream(reg, sf_dir), sink, state).awaitTermination()
+    return reg.spark.read.parquet(sink)
 
 
 def stream_quality(reg: Registry, sf_dir: str) -> DataFrame:

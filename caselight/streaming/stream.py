@@ -88,14 +88,19 @@ def intake_base(spark: SparkSession, sink: str, by_payer: bool = False) -> DataF
     )
 
 
-def intake_windows(docs: DataFrame, delay: str) -> DataFrame:
-    """Streaming daily counts that are emitted once, when the watermark has passed the day."""
+def intake_windows(docs: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Daily counts held as streaming state, one row a day; the sink shows all days seen, rewritten each batch.
+
+    There is no watermark: a document counts for its day however late it comes, and the newest day is shown too.
+    """
+    measures = [m for m, name in _named(V.intake_measures()) if name != "avg_quality_score"]
+    daily = docs.groupBy(day(F.col("ingestion_timestamp")).alias("intake_date")).agg(*measures)
     return (
-        docs.withWatermark("ingestion_timestamp", delay)
-        .groupBy(F.window("ingestion_timestamp", "1 day"))
-        .agg(*[m for m, name in _named(V.intake_measures()) if name != "avg_quality_score"])
-        .select(F.to_date("window.start").alias("intake_date"), "*")
-        .drop("window")
+        daily.writeStream.outputMode("complete")
+        .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(sink))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 

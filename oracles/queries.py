@@ -515,8 +515,7 @@ INTAKE_COLUMNS = (
 STREAMS = {
     "stream_intake": f"SELECT intake_date, payer_code, {INTAKE_COLUMNS.format(q='avg_quality_score, ')}"
     " FROM v_intake_payer",
-    "stream_intake_windows": f"SELECT intake_date, {INTAKE_COLUMNS.format(q='')} FROM v_intake"
-    " WHERE CAST(intake_date + 1 AS TIMESTAMP) <= (SELECT max(ingested) FROM docs) - INTERVAL 2 HOUR",
+    "stream_intake_windows": f"SELECT intake_date, {INTAKE_COLUMNS.format(q='')} FROM v_intake",
     "stream_quality": "SELECT * FROM v_quality",
     "stream_cascade": "SELECT doc_id, parse_error_status, payer_code FROM parsed",
 }

@@ -30,6 +30,13 @@ def test_sums_of_several_batches_equal_the_batch_view(spark, reg, split_events,
     same(St.intake_base(spark, sink), V.intake_daily(reg).select(*columns))
 
 
+def test_held_counts_keep_late_rows_and_the_newest_day(spark, reg, split_events, tmp_path):
+    sink = f"{tmp_path}/sink"
+    St.intake_windows(stream(spark, split_events), sink, f"{tmp_path}/state").awaitTermination()
+    found = spark.read.parquet(sink)
+    same(found, V.intake_daily(reg).select(*found.columns))
+
+
 def test_replayed_batch_does_not_count_twice(spark, split_events, tmp_path):
     sink = f"{tmp_path}/sink"
     St.intake_stream(stream(spark, split_events), sink, f"{tmp_path}/state-a").awaitTermination()
