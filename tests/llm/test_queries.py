@@ -1,6 +1,7 @@
 """Every registered query of this package against its SQL, and the operators without a contract on odd rows."""
 
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,49 @@ def test_scores(spark, odd, none, send, send_pairs):
     assert ngram_lm.score(none, send=send, send_pairs=send_pairs).count() == 0
 
 
+def brute_scores(rows, order, min_count):
+    """Integer score, words and backed-off words of each document, by the definition."""
+    from math import log10
+
+    texts = [(d, (t or "").lower().split()) for d, t in rows]
+    counts = Counter(tuple(w[i : i + n]) for _, w in texts for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(len(w) for _, w in texts)
+    out = {}
+    for d, w in texts:
+        value = off = 0
+        for i in range(len(w)):
+            seen = top = min(i, order - 1)
+            while seen and counts[tuple(w[i - seen : i + 1])] < min_count:
+                seen -= 1
+            gram, steps = tuple(w[i - seen : i + 1]), top - seen
+            if seen:
+                value += round(log10(counts[gram] / counts[gram[:-1]]) * 1e9) + steps * round(log10(0.4) * 1e9)
+            else:
+                low = log10(0.4) if steps else 0
+                value += round((low + log10(counts[gram] / total)) * 1e9) + max(steps - 1, 0) * round(log10(0.4) * 1e9)
+            off += steps > 0
+        v, n, o = out.get(d, (0, 0, 0))
+        out[d] = (v + value, n + len(w), o + off)
+    return out
+
+
+@pytest.mark.parametrize(
+    ("order", "min_count", "send"), [(None, None, None), (3, 1, 0), (3, 2, 4), (2, 1, 4), (4, 1, 40), (5, 2, 10**9)]
+)
+def test_scores_of_longer_ngrams_and_of_all_counts(spark, order, min_count, send):
+    rows = [
+        (1, "a b c a b c d b a c"), (2, "A b c d"), (2, "c b a"), (3, None), (4, " "), (5, "b c"), (None, "a b c a"),
+        (6, "rare words stand once only"), (7, "a b c d e a b c d f"), (8, "c b a b c c b"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    how = {} if order is None else {"order": order, "min_count": min_count, "send": send, "send_pairs": send}
+    want = brute_scores(rows, order or 3, min_count or 1)
+    got = {r.doc_id: (round(r.log10_score * 1e9), r.n_words, r.n_backed_off) for r in ngram_lm.score_ngrams(df, **how).collect()}
+    assert got.keys() == want.keys()
+    for d in want:
+        assert got[d][1:] == want[d][1:] and abs(got[d][0] - want[d][0]) <= want[d][1]
+
+
 def test_chat_collapse(spark):
     def turns(conv, *texts):
         return [(conv, i, "user" if i % 2 == 0 else "assistant", t, "x") for i, t in enumerate(texts)]
