@@ -9,18 +9,23 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caselight.llm.common import stage
+from caselight.llm.common import bounded_batches, stage
 
 PAGES_PER_FILE = 1_000
+PART_BYTES = 32 << 20  # a file is stored in parts whose records begin within so many bytes of it
 RANGE_BYTES = 1 << 16
 FAN = 16
 END = "\r\n\r\n"
+FIRST = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:md5:"
+ROWS = 8_192  # digests of an Arrow batch
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -29,7 +34,7 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     uri = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20]", "%20")
     name = F.md5(F.concat_ws("|", page_id.cast("string"), uri).cast("binary"))
     head = [
-        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:md5:"), name,
+        F.lit(FIRST), name,
         F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END),
     ]
@@ -46,34 +51,73 @@ def _records(pages: DataFrame, per_file: int) -> DataFrame:
     return pages.select(file_of(F.col("page_id"), per_file).alias("file"), "page_id", made)
 
 
-def write_warc(pages: DataFrame, folder: str, per_file: int = PAGES_PER_FILE) -> None:
-    """Gzipped WARC files under ``folder``/file=N/, records by page_id; repeated rows are repeated records."""
-    rows = _records(pages, per_file).repartition("file").sortWithinPartitions("file", "page_id", "value")
-    out = rows.select("file", "value").write.partitionBy("file")
+def _placed(pages: DataFrame, per_file: int) -> DataFrame:
+    """``(file, page_id, value, offset)``: records where they stand in their file, ordered by page_id and value.
+
+    In two steps: bytes per page_id and first digits of the record's name, by which records of one page_id are
+    ordered, give where such a group begins; rows are ordered within their group alone.  So pages without id, or
+    of one id, are dealt to many tasks by their URLs.
+    """
+    group = ("file", "id", "no_id", "digits")
+    size = (F.octet_length("value") + len(END)).cast("long")
+    rows = _records(pages, per_file).select(
+        "file", "page_id", "value", F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("id"),
+        F.col("page_id").isNull().alias("no_id"), F.substring("value", len(FIRST) + 1, 3).alias("digits"),
+    )
+    bytes_of = rows.groupBy(*group).agg(F.sum(size).alias("bytes"))
+    earlier = (Window.unboundedPreceding, -1)
+    along = Window.partitionBy("file").orderBy(F.desc("no_id"), "id", "digits").rowsBetween(*earlier)
+    begin = bytes_of.select(*group, F.coalesce(F.sum("bytes").over(along), F.lit(0)).alias("begin"))
+    within = Window.partitionBy(*group).orderBy("value").rowsBetween(*earlier)
+    offset = F.col("begin") + F.coalesce(F.sum(size).over(within), F.lit(0))
+    return rows.join(begin, list(group)).select("file", "page_id", "value", offset.cast("long").alias("offset"))
+
+
+def write_warc(
+    pages: DataFrame, folder: str, per_file: int = PAGES_PER_FILE, part_bytes: int = PART_BYTES
+) -> None:
+    """Gzipped WARC files under ``folder``/file=N/start=OFFSET/, records by page_id; repeated rows are repeated records.
+
+    A file of any length is written in parts, each by one task, that hold ``part_bytes`` and a record at most.
+    """
+    part = F.floor(F.col("offset") / part_bytes)
+    rows = _placed(pages, per_file).withColumn("part", part)
+    rows = rows.withColumn("start", F.min("offset").over(Window.partitionBy("file", "part")))
+    rows = rows.sortWithinPartitions("file", "start", "offset")
+    out = rows.select("file", "start", "value").write.partitionBy("file", "start")
     out.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
 def parse(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset in the unpacked file, record) of a WARC file; a record cut off at the end is returned as it is."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at = 0
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        length = 0
-        for line in data[at : head if head >= 0 else len(data)].split(b"\r\n"):
-            key, _, value = line.partition(b":")
-            if key.strip().lower() == b"content-length":
-                length = int(value)
-        end = head + 4 + length if head >= 0 else len(data)
-        yield at, data[at:end]
-        at = end + 4
+    """(offset in the unpacked file, record) of a WARC file; a record cut off at the end is returned as it is.
+
+    It is unpacked as a stream, a record at a time.
+    """
+    raw = io.BytesIO(content)
+    with gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw as stream:
+        at = 0
+        while True:
+            head = bytearray()
+            while not head.endswith(b"\r\n\r\n") and (line := stream.readline()):
+                head += line
+            if not head:
+                return
+            length = 0
+            for line in bytes(head).split(b"\r\n"):
+                key, _, value = line.partition(b":")
+                if key.strip().lower() == b"content-length":
+                    length = int(value)
+            whole = head.endswith(b"\r\n\r\n")
+            yield at, bytes(head) + (stream.read(length) if whole else b"")
+            at += len(head) + length + len(stream.read(4))
 
 
 def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = [(file, at, hashlib.sha256(rec).hexdigest()) for at, rec in parse(content)]
-            if rows:
+        for file, start, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+            file, start = file.as_py(), start.as_py()
+            found = ((file, start + at, hashlib.sha256(rec).hexdigest()) for at, rec in parse(content.as_py()))
+            while rows := list(itertools.islice(found, ROWS)):
                 cols = [pa.array(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["file", "offset", "digest"])
 
@@ -81,7 +125,7 @@ def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests_of_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(file, offset, digest)`` of every record in the files that :func:`write_warc` wrote."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
-    return files.select(F.col("file").cast("long"), "content").mapInArrow(
+    return bounded_batches(files).select(F.col("file").cast("long"), F.col("start").cast("long"), "content").mapInArrow(
         _hash_files, "file long, offset long, digest string"
     )
 
@@ -91,14 +135,8 @@ def digests_of_pages(pages: DataFrame, per_file: int = PAGES_PER_FILE, damaged:
     value = F.col("value")
     if damaged is not None:
         value = F.when(F.coalesce(damaged, F.lit(False)), F.overlay(value, F.lit("!"), 1, 1)).otherwise(value)
-    along = Window.partitionBy("file").orderBy("page_id", "value").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("value") + len(END)
-    return _records(pages, per_file).select(
-        "file",
-        F.coalesce(F.sum(size).over(along), F.lit(0)).cast("long").alias("offset"),
-        F.sha2(value.cast("binary"), 256).alias("digest"),
-        "page_id",
-    )
+    digest = F.sha2(value.cast("binary"), 256).alias("digest")
+    return _placed(pages, per_file).select("file", "offset", digest, "page_id")
 
 
 def _join(child: Column, digest: Column) -> Column:

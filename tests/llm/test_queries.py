@@ -1,5 +1,6 @@
 """Every registered query of this package against its SQL, and the operators without a contract on odd rows."""
 
+import gzip
 import hashlib
 from collections import Counter
 
@@ -140,6 +141,25 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert warc.audit(files, empty).where("status = 'missing'").count() == len(rows)
 
 
+def test_warc_file_of_many_bytes_is_stored_in_parts(spark, tmp_path):
+    rows = [(None, f"http://x/{i % 150}", f"{i % 40} " * 50) for i in range(300)] + [(3, "u", "same")] * 40
+    rows += [(None, None, None)] * 20 + [(-5, "u", "v"), (4, None, "w" * 9_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = tmp_path / "warc"
+    warc.write_warc(pages, str(folder), part_bytes=4_096)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in folder.rglob("*.gz")]
+    assert len(sizes) > 20 and sorted(sizes)[-2] < 6_000
+    files, table = warc.digests_of_files(spark, str(folder)), warc.digests_of_pages(pages)
+    made = warc._records(pages, warc.PAGES_PER_FILE).collect()
+    made.sort(key=lambda r: (r.file, r.page_id is not None, r.page_id or 0, r.value))
+    at, want = Counter(), []
+    for r in made:
+        want.append((r.file, at[r.file], hashlib.sha256(r.value.encode()).hexdigest()))
+        at[r.file] += len(r.value.encode()) + 4
+    for found in (files, table):
+        assert sorted((r.file, r.offset, r.digest) for r in found.collect()) == sorted(want)
+
+
 def test_cut_off_file_is_read_to_its_end():
     whole = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 30\r\n\r\nshort"
     assert [r[-5:] for _, r in warc.parse(whole)] == [b"\r\nabc", b"short"]
