@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm import chat, langid, lattice, line_dedup, mixing, ngram_lm, simhash, suffix_dedup, warc, wu_manber
+from caselight.llm import (
+    chat,
+    hard_negatives,
+    langid,
+    lattice,
+    line_dedup,
+    mixing,
+    ngram_lm,
+    simhash,
+    suffix_dedup,
+    warc,
+    wu_manber,
+)
 from caselight.llm.common import table
 from caselight.llm.oracles import ORACLE_SQL  # noqa: F401  (read by the entry point)
 from caselight.session import shared_dir
@@ -77,6 +89,10 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op13_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_collapse,
         op9_source_mixing,
         op10_wu_manber_decontamination,
+        op13_four_russians_negatives,
         pipeline,
     )
 }
