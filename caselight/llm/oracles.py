@@ -223,6 +223,81 @@ WITH v AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
+# CRC-32 (reflected, polynomial 0xEDB88320) of an ASCII string, bit by bit; then rows after damage; then one step a
+# row over all states of the pattern, with up to two insertions before each row and at the end.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(key, '')]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+    lambda x, i: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+_REPAIR = f"""
+WITH RECURSIVE k AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind FROM k
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM c WHERE kind <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         left(role, 1) AS r, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM d
+), f AS (
+  SELECT *, t = '' AS blank, t <> '' AND again AS duplicate,
+         t <> '' AND NOT again AND right(t, 1) NOT IN ('.', '!', '?') AS truncated,
+         coalesce(lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM o
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n
+  FROM f GROUP BY conv_id
+), e(st, edit, sys, usr, ast, cost, nxt) AS (
+  VALUES (0, 'K', true, false, false, 0, 1), (0, 'K', false, true, false, 0, 2), (1, 'K', false, true, false, 0, 2),
+         (3, 'K', false, true, false, 0, 2), (2, 'K', false, false, true, 0, 3), (0, 'R', true, true, true, 3, 2),
+         (1, 'R', true, true, true, 3, 2), (3, 'R', true, true, true, 3, 2), (2, 'R', true, true, true, 3, 3)
+), ins(st, n, nxt) AS (
+  VALUES (0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (0, 1, 2), (1, 1, 2), (2, 1, 3), (3, 1, 2),
+         (0, 2, 3), (1, 2, 3), (2, 2, 2), (3, 2, 3)
+), w AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS st, 0 AS cost, '' AS audit, '' AS made FROM g
+  UNION ALL
+  (WITH step AS (
+    SELECT w.conv_id, f.i, x.st, w.cost + ins.n * 3 + x.cost AS cost, w.audit || repeat('I', ins.n) || x.edit AS audit,
+           w.made || CASE ins.n WHEN 0 THEN '' WHEN 1 THEN CASE ins.nxt WHEN 2 THEN 'user:' ELSE 'assistant:' END || chr(10)
+             ELSE CASE ins.nxt WHEN 3 THEN 'user:' || chr(10) || 'assistant:' ELSE 'assistant:' || chr(10) || 'user:' END || chr(10) END
+           || CASE x.edit WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10)
+              ELSE CASE x.st WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text || chr(10) END AS made
+    FROM w JOIN ins ON ins.st = w.st JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1,
+    LATERAL (
+      SELECT ins.nxt AS st, 'D' AS edit, 4 AS cost
+      UNION ALL
+      SELECT e.nxt, e.edit, e.cost + CASE WHEN f.truncated THEN 3 ELSE 0 END FROM e
+      WHERE e.st = ins.nxt AND NOT f.blank AND NOT f.duplicate
+        AND (e.edit = 'R' OR e.sys AND f.r = 's' OR e.usr AND f.r = 'u' OR e.ast AND f.r = 'a')
+    ) x
+  )
+  SELECT conv_id, i, st, cost, audit, made FROM step
+  QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1)
+), y AS (
+  SELECT w.conv_id, w.cost + ins.n * 3 AS total, w.audit || repeat('I', ins.n) AS edits,
+         w.made || CASE ins.n WHEN 0 THEN '' WHEN 1 THEN 'assistant:' || chr(10)
+           ELSE 'user:' || chr(10) || 'assistant:' || chr(10) END AS made
+  FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = g.n JOIN ins ON ins.st = w.st AND ins.nxt IN (0, 3)
+), z AS (
+  SELECT conv_id, total AS cost, edits AS audit, made FROM y
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total, edits) = 1
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(left(made, length(made) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": _LINES,
     "op2_suffix_array_dedup": _REPEATS,
@@ -232,5 +307,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_collapse": _CHATS,
     "op9_source_mixing": _MIX,
     "op10_wu_manber_decontamination": _HITS,
+    "op12_bidirectional_repair": _REPAIR,
     "op13_four_russians_negatives": _NEGATIVES,
 }

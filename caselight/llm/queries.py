@@ -16,6 +16,7 @@ from caselight.llm import (
     line_dedup,
     mixing,
     ngram_lm,
+    repair,
     simhash,
     suffix_dedup,
     warc,
@@ -89,6 +90,15 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op12_bidirectional_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = repair.damage(conversations)
+    found = repair.repair(rows, conversations.select("conv_id"))
+    digests = repair.turn_digests(repair.repaired_turns(rows, found)).withColumnRenamed("conv_id", "own")
+    digest = F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return found.join(digests, found["conv_id"].eqNullSafe(digests["own"]), "left").select(*found.columns, digest)
+
+
 def op13_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -112,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_collapse,
         op9_source_mixing,
         op10_wu_manber_decontamination,
+        op12_bidirectional_repair,
         op13_four_russians_negatives,
         pipeline,
     )
