@@ -19,6 +19,7 @@ from caselight.llm import (
     repair,
     simhash,
     suffix_dedup,
+    toxicity,
     warc,
     wu_manber,
 )
@@ -90,6 +91,12 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
 def op12_bidirectional_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     rows = repair.damage(conversations)
@@ -122,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_collapse,
         op9_source_mixing,
         op10_wu_manber_decontamination,
+        op11_counterfactual_toxicity,
         op12_bidirectional_repair,
         op13_four_russians_negatives,
         pipeline,
