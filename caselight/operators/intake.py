@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def parse_docs(docs: DataFrame, error_code: Column | None = None) -> DataFrame:
-    """Parse outcome per document; ``error_code`` is the engine's code for a readable one."""
+def parse_docs(docs: DataFrame, error_code: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Parse outcome per document; ``error_code`` is the engine's code for a readable one, ``keep`` stays beside it."""
     unreadable = ~F.col("is_readable")
     code = F.lit(None).cast("string") if error_code is None else error_code
     return docs.select(
@@ -17,6 +19,7 @@ def parse_docs(docs: DataFrame, error_code: Column | None = None) -> DataFrame:
         F.when(unreadable, "unreadable").otherwise(code).alias("parse_error_status"),
         F.col("ingestion_timestamp").alias("ingest_ts"),
         "payer_code",
+        *keep,
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselight.functions.exact import fixed, ratio
+from caselight.functions.exact import mean_exact, ratio
 
 
 def _window(keys: Sequence[str], order: Sequence[str]):
@@ -40,12 +40,12 @@ def trailing_sum(col: Column, rows: int, keys: Sequence[str], order: Sequence[st
 
 
 def trailing_mean(
-    col: str, rows: int, keys: Sequence[str], order: Sequence[str], dp: int, digits: int = 0
+    col: str, rows: int, keys: Sequence[str], order: Sequence[str], dp: int, exact: bool = False
 ) -> Column:
-    """Mean of the last ``rows`` rows; ``digits`` is the input's decimals."""
-    value = fixed(F.col(col), digits) if digits else F.col(col).cast("long")
-    total, n = trailing_sum(value, rows, keys, order)
-    return ratio(total, n * F.lit(10**digits), dp)
+    """Mean of the last ``rows`` rows of whole numbers, or with ``exact`` of doubles."""
+    if exact:
+        return mean_exact(F.col(col), dp, _window(keys, order).rowsBetween(1 - rows, 0))
+    return ratio(*trailing_sum(F.col(col).cast("long"), rows, keys, order), dp)
 
 
 def running_total(col: str, keys: Sequence[str], order: Sequence[str]) -> Column:

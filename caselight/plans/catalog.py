@@ -24,6 +24,7 @@ from caselight.session import shared_dir
 from caselight.sources import fixtures as Fx
 from caselight.sources.registry import Registry
 from caselight.sources.tables import append_missing, ensure_columns, merge_update, update_where
+from caselight.sources.versions import VersionedTable
 from caselight.streaming import stream as St
 
 Query = Callable[[Registry], DataFrame]
@@ -211,6 +212,22 @@ def table_merge_update(reg: Registry) -> DataFrame:
     )
 
 
+def table_partition_merge(reg: Registry) -> DataFrame:
+    """A versioned table by day, whose last three days get their payers in lower case; which days were rewritten."""
+    rows = reg.raw("clinical_document").select("doc_id", "payer_code", F.to_date("ingestion_timestamp").alias("day"))
+    table = VersionedTable(reg.spark, f"{shared_dir(reg.spark)}/by-day-{uuid.uuid4().hex}")
+    table.create(rows, ["day"])
+    last = rows.agg(F.max("day")).scalar()
+    source = rows.where(F.col("day") > F.date_sub(last, 3)).select("doc_id", F.lower("payer_code").alias("payer_code"))
+    table.merge(source, ["doc_id"], {"payer_code": F.col("s.payer_code")}, when=F.col("t.payer_code").isNotNull())
+    _, _, touched = table.history()[-1]
+    return table.read().groupBy("day").agg(
+        F.count(F.lit(1)).alias("docs"),
+        n_where(F.col("payer_code") == F.lower("payer_code")).alias("lowered"),
+        F.any_value(F.concat(F.lit("day="), F.col("day").cast("string")).isin(touched)).alias("rewritten"),
+    )
+
+
 def table_ensure_columns(reg: Registry) -> DataFrame:
     docs = reg.table("clinical_document").select("doc_id", "payer_code")
     return ensure_columns(docs, {"payer_code": "string", "urgency": "string"})
@@ -271,6 +288,7 @@ TABLE_QUERIES: dict[str, Query] = {
     "table_update_where": table_update_where,
     "table_merge_update": table_merge_update,
     "table_ensure_columns": table_ensure_columns,
+    "table_partition_merge": table_partition_merge,
     "backfill_payer": backfill_payer,
     "backfill_urgency": backfill_urgency,
     "backfill_call_timings": backfill_call_timings,
@@ -430,7 +448,7 @@ def stream_intake(reg: Registry, sf_dir: str) -> DataFrame:
 def stream_intake_windows(reg: Registry, sf_dir: str) -> DataFrame:
     sink, state = _paths(reg, "stream-windows")
     St.intake_windows(_doc_stream(reg, sf_dir), sink, state).awaitTermination()
-    return reg.spark.read.parquet(sink)
+    return St.window_days(reg.spark, sink)
 
 
 def stream_quality(reg: Registry, sf_dir: str) -> DataFrame:
@@ -447,10 +465,15 @@ def stream_quality(reg: Registry, sf_dir: str) -> DataFrame:
 def stream_cascade(reg: Registry, sf_dir: str) -> DataFrame:
     sink, state = _paths(reg, "stream-cascade")
     St.cascade_stream(_doc_stream(reg, sf_dir), sink, state).awaitTermination()
-    blank = reg.raw("clinical_doc_parsed").select(
-        "doc_id", "parse_error_status", F.lit(None).cast("string").alias("payer_code")
-    )
-    return St.cascaded(blank, reg.spark.read.parquet(sink))
+    log = VersionedTable(reg.spark, sink).read()
+
+    def stage(name: str) -> DataFrame:
+        column, _ = Mt.STAGE_LAG[name]
+        blank = reg.raw(name).select("doc_id", F.lit(None).cast("string").alias("payer_code"), F.lit(None).cast("timestamp").alias(column))
+        done = St.cascaded(blank, log, name)
+        return done.select(F.lit(name).alias("table_name"), "doc_id", "payer_code", F.unix_seconds(column).alias("stage_second"))
+
+    return _union([stage(name) for name in Mt.STAGE_LAG])
 
 
 STREAM_QUERIES = {

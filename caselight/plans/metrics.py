@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselight.functions.exact import mean_fixed, mean_int, n_where, pct
+from caselight.functions.exact import mean_exact, mean_int, n_where, pct
 from caselight.plans import views as V
 from caselight.sources.registry import Registry
 
@@ -73,7 +73,7 @@ def doc_intake(reg: Registry, by_payer: bool = True) -> MetricView:
         {
             "total_documents": _sum("total_docs"),
             "unreadable_documents": _sum("unreadable_docs"),
-            "avg_ocr_quality": lambda: mean_fixed(F.col("avg_quality_score"), 3, 3),
+            "avg_ocr_quality": lambda: mean_exact(F.col("avg_quality_score"), 3),
             "fax_volume": _sum("via_fax"),
             "electronic_volume": _sum("via_electronic"),
             "upload_volume": _sum("via_upload"),
@@ -92,7 +92,7 @@ def doc_match(reg: Registry) -> MetricView:
         {
             "document_count": _count,
             "match_rate_pct": _share(lambda: F.col("match_class") == "match"),
-            "avg_match_weight": lambda: mean_fixed(F.col("match_weight"), V.WEIGHT_DIGITS, 4),
+            "avg_match_weight": lambda: mean_exact(F.col("match_weight"), 4),
             "high_risk_pct": _share(lambda: F.col("doc_risk_tier").like("High%")),
             "extraction_completeness_pct": _share(lambda: ~F.col("missing_dob") & ~F.col("missing_ssn4")),
             "non_match_count": lambda: n_where(F.col("match_class") == "non_match"),
@@ -128,7 +128,7 @@ def prior_auth(reg: Registry) -> MetricView:
             "denial_rate_pct": lambda: pct(F.sum("denied"), judged()),
             "sla_compliance_pct": lambda: pct(F.sum("within_sla_count"), F.sum("total_decisions")),
             # Mean of daily means, each day weighing the same.
-            "avg_days_to_decision": lambda: mean_fixed(F.col("avg_days_to_decision"), 2, 2),
+            "avg_days_to_decision": lambda: mean_exact(F.col("avg_days_to_decision"), 2),
         },
     )
 
@@ -141,7 +141,7 @@ def payer_volume(reg: Registry) -> MetricView:
         {
             "documents": _sum("total_documents"),
             "pa_volume": _sum("total_pa_decisions"),
-            "pa_approval_rate_pct": lambda: mean_fixed(F.col("pa_approval_rate_pct"), 2, 2),
+            "pa_approval_rate_pct": lambda: mean_exact(F.col("pa_approval_rate_pct"), 2),
         },
     )
 
@@ -153,8 +153,8 @@ def call_ops(reg: Registry) -> MetricView:
         ["ops_date", "agency_name", "call_type"],
         {
             "total_calls": _sum("total_calls"),
-            "avg_wait_seconds": lambda: mean_fixed(F.col("avg_wait_seconds"), 0, 0),
-            "avg_handle_seconds": lambda: mean_fixed(F.col("avg_handle_seconds"), 0, 0),
+            "avg_wait_seconds": lambda: mean_exact(F.col("avg_wait_seconds"), 0),
+            "avg_handle_seconds": lambda: mean_exact(F.col("avg_handle_seconds"), 0),
             "fcr_pct": lambda: pct(F.sum("fcr_resolved_count"), F.sum("total_calls")),
         },
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselight.functions.exact import fixed, mean_int, n_where, pct, ratio
+from caselight.functions.exact import mean_int, n_where, pct, shown
 from caselight.functions.exprs import month_to_date, since
 from caselight.operators.ranks import top_ranked
 from caselight.plans import metrics as M
@@ -266,17 +266,16 @@ def q30_escalation_type_sentiment(reg, as_of=None):
 
 def q31_low_compliance_month(reg, as_of=None):
     table = reg.table("mv_compliance_outcomes")
-    rate = fixed(F.col("compliance_rate"), V.RATE_DIGITS)
-    n = F.count("compliance_rate")
+    # Four decimals of the rate are two of the percentage; the floor is held against the unrounded mean.
+    rate = F.col("compliance_rate")
+    digits = shown(rate)
+    mean = F.when(F.count(digits) == F.count(rate), F.try_sum(digits) / F.nullif(F.count(digits), F.lit(0)))
     return (
         table.where(month_to_date(F.col("day"), newest(table, "day", as_of)))
         .groupBy("agency_name")
-        .agg(F.sum(rate).alias("_sum"), n.alias("_n"))
-        .where(F.col("_sum") * 100 < F.col("_n") * F.lit(85 * 10**V.RATE_DIGITS))
-        .select(
-            "agency_name",
-            ratio(F.col("_sum"), F.col("_n") * F.lit(10**V.RATE_DIGITS), 2, 100).alias("avg_compliance_pct"),
-        )
+        .agg(mean.alias("_mean"))
+        .where(F.col("_mean") < F.lit("0.85").cast("decimal(2,2)"))
+        .select("agency_name", (F.round("_mean", 4).cast("decimal(10,4)") * 100).cast("double").alias("avg_compliance_pct"))
         .orderBy("avg_compliance_pct", "agency_name")
     )
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from caselight.functions.exact import mean_fixed, mean_int, n_where, pct
+from caselight.functions.exact import mean_exact, mean_int, n_where, pct
 from caselight.functions.exprs import TIER_NONE, since
 
 
@@ -67,8 +67,8 @@ MEASURES: dict[str, tuple[str, Callable[[], Column]]] = {
         "match_detail_by_payer", lambda: pct(n_where(F.col("doc_risk_tier") == TIER_NONE), _rows()),
     ),
     # Two decimals here; the metric view carries four.
-    "avg_weight": ("match_detail_by_payer", lambda: mean_fixed(F.col("match_weight"), 4, 2)),
-    "avg_ocr_quality": ("intake_daily", lambda: mean_fixed(F.col("avg_quality_score"), 3, 3)),
+    "avg_weight": ("match_detail_by_payer", lambda: mean_exact(F.col("match_weight"), 2)),
+    "avg_ocr_quality": ("intake_daily", lambda: mean_exact(F.col("avg_quality_score"), 3)),
     "extraction_complete_pct": (
         "match_detail_by_payer",
         lambda: pct(n_where(~F.col("missing_dob") & ~F.col("missing_ssn4")), _rows()),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselight.functions import exprs as X
-from caselight.functions.exact import fixed, mean_fixed, mean_int, n_where, pct, ratio
+from caselight.functions.exact import fixed, mean_exact, mean_int, mean_of, n_where, pct, ratio, shown
 from caselight.operators import ranks as R
 from caselight.operators import windows as Wd
 from caselight.operators.ranks import null_safe
@@ -22,9 +22,6 @@ from caselight.session import materialize
 from caselight.sources.registry import Registry
 from caselight.sources.tables import register_view, with_comments
 
-QUALITY_DIGITS = 6
-WEIGHT_DIGITS = 4
-RATE_DIGITS = 10
 
 DOC_TYPE_COLUMNS = {
     "prior_auth_forms": "prior_auth_form",
@@ -46,7 +43,7 @@ def intake_measures() -> list[Column]:
         _rows().alias("total_docs"),
         *[n_where(F.col("document_type") == v).alias(k) for k, v in DOC_TYPE_COLUMNS.items()],
         n_where(F.col("is_readable") == F.lit(False)).alias("unreadable_docs"),
-        mean_fixed(F.col("quality_score"), QUALITY_DIGITS, 3).alias("avg_quality_score"),
+        mean_exact(F.col("quality_score"), 3).alias("avg_quality_score"),
         *[n_where(F.col("source_channel") == v).alias(k) for k, v in CHANNEL_COLUMNS.items()],
     ]
 
@@ -140,12 +137,14 @@ def match_detail_ranked(reg: Registry, cells_per_task: int = R.CELLS_PER_TASK) -
     cube = materialize(
         m.join(d, "doc_id", "left")
         .groupBy("document_type", "source_channel", "intake_date", "match_weight")
-        .agg(_rows().alias("n")),
+        .agg(_rows().alias("n"), F.try_sum(shown(F.col("match_weight"))).alias("total")),
         "match-cube",
     )
     cells = cube.count()  # bounds every table derived from it
-    scaled = fixed(F.col("match_weight"), WEIGHT_DIGITS) * F.col("n")
-    mean = ratio(F.sum(scaled), F.sum("n") * F.lit(10**WEIGHT_DIGITS), WEIGHT_DIGITS)
+    weight, n = F.col("match_weight"), F.col("n")
+    known = F.sum(F.when(weight.isNotNull(), n).otherwise(0))
+    plain = F.sum(weight * n) / F.nullif(known, F.lit(0))
+    mean = mean_of(F.try_sum("total"), F.sum(F.when(shown(weight).isNotNull(), n).otherwise(0)), known, plain, 4)
     by_weight = R.value_ranks(
         cube.groupBy("document_type", "match_weight").agg(F.sum("n").alias("n")),
         ["document_type"],
@@ -175,7 +174,7 @@ def auth_match_daily(reg: Registry) -> DataFrame:
         .groupBy(X.day(F.col("pipeline_run_ts")).alias("match_date"), "match_class")
         .agg(
             _rows().alias("candidate_count"),
-            mean_fixed(weight, WEIGHT_DIGITS, 4).alias("avg_match_weight"),
+            mean_exact(weight, 4).alias("avg_match_weight"),
             F.round(F.min(weight), 4).alias("min_match_weight"),
             F.round(F.max(weight), 4).alias("max_match_weight"),
         )
@@ -224,8 +223,8 @@ def quality_trend(counts: DataFrame) -> DataFrame:
     change3 = Wd.change("pct_unreadable", 3, by_day, order)
     return base.select(
         "*",
-        Wd.trailing_mean("pct_unreadable", 7, by_day, order, 2, 2).alias("rolling_7d_unreadable_pct"),
-        Wd.trailing_mean("pct_missing_dob", 7, by_day, order, 2, 2).alias("rolling_7d_missing_dob_pct"),
+        Wd.trailing_mean("pct_unreadable", 7, by_day, order, 2, exact=True).alias("rolling_7d_unreadable_pct"),
+        Wd.trailing_mean("pct_missing_dob", 7, by_day, order, 2, exact=True).alias("rolling_7d_missing_dob_pct"),
         Wd.lag_rows("pct_unreadable", 1, by_day, order).alias("prev_day_unreadable_pct"),
         F.round(change3, 2).alias("unreadable_trend_3d"),
         X.above_multiple(unread, total7, n7, 3, 2).alias("dq_degradation_flag"),
@@ -408,14 +407,12 @@ def compliance_daily(reg: Registry, mode: str = "literal") -> DataFrame:
     rate = F.col("compliance_rate")
     wide = base.select(
         "*",
-        Wd.trailing_mean("compliance_rate", 7, keys, order, 4, RATE_DIGITS).alias("rolling_7d_compliance"),
-        Wd.trailing_mean("high_risk_rate", 7, keys, order, 5, RATE_DIGITS).alias("rolling_7d_high_risk"),
+        Wd.trailing_mean("compliance_rate", 7, keys, order, 4, exact=True).alias("rolling_7d_compliance"),
+        Wd.trailing_mean("high_risk_rate", 7, keys, order, 5, exact=True).alias("rolling_7d_high_risk"),
         Wd.lag_rows("compliance_rate", 7, keys, order).alias("prev_week_compliance"),
-        ratio(
-            fixed(rate, RATE_DIGITS) - fixed(Wd.lag_rows("compliance_rate", 7, keys, order), RATE_DIGITS),
-            F.lit(10**RATE_DIGITS),
-            4,
-        ).alias("wow_compliance_change"),
+        F.round(
+            shown(rate, "decimal(30,18)") - shown(Wd.lag_rows("compliance_rate", 7, keys, order), "decimal(30,18)"), 4
+        ).cast("double").alias("wow_compliance_change"),
         Wd.rank_in(["day"], [rate.desc_nulls_last()]).alias("agency_compliance_rank"),
     )
     below = F.coalesce(rate < X.COMPLIANCE_FLOOR, F.lit(False))

@@ -185,7 +185,7 @@ QUESTIONS = {
     "q30_escalation_type_sentiment": f"SELECT sentiment_overall, {N} AS n FROM sent"
     " WHERE call_type ILIKE '%escal%' GROUP BY 1",
     "q31_low_compliance_month": "SELECT agency_name,"
-    f" {half_up('SUM(CAST(round(compliance_rate * 10000000000.0::DOUBLE) AS BIGINT))', 'COUNT(*) * 10000000000', 2, 100)}"
+    " CAST(round(CAST(CAST(favg(compliance_rate) AS VARCHAR) AS DECIMAL(38, 18)), 4) * 100 AS DOUBLE)"
     " AS avg_compliance_pct FROM comp WHERE day >= date_trunc('month', (SELECT max(day) FROM comp))"
     " GROUP BY 1 HAVING AVG(compliance_rate) < 0.85",
     "q32_top_ranked_rows": "SELECT agent_name, agent_avg_score, agent_call_count FROM v_calls"
@@ -350,6 +350,9 @@ TABLES = {
         ELSE lower(d.payer_code) END AS payer_code
       FROM parsed p LEFT JOIN docs d ON d.doc_id = p.doc_id""",
     "table_ensure_columns": "SELECT doc_id, payer_code, CAST(NULL AS VARCHAR) AS urgency FROM docs",
+    "table_partition_merge": f"SELECT intake AS day, {N} AS docs,"
+    f" {n_if('payer_code IS NOT NULL AND intake > (SELECT max(intake) FROM docs) - 3')} AS lowered,"
+    " intake > (SELECT max(intake) FROM docs) - 3 AS rewritten FROM docs GROUP BY 1",
     "backfill_payer": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, "
         "CASE WHEN t.payer_code IS NULL THEN d.hashed ELSE t.payer_code END"
@@ -517,7 +520,16 @@ STREAMS = {
     " FROM v_intake_payer",
     "stream_intake_windows": f"SELECT intake_date, {INTAKE_COLUMNS.format(q='')} FROM v_intake",
     "stream_quality": "SELECT * FROM v_quality",
-    "stream_cascade": "SELECT doc_id, parse_error_status, payer_code FROM parsed",
+    "stream_cascade": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, t.doc_id, d.payer_code,"
+        f" CAST(floor(epoch(d.ingested)) AS BIGINT) + {lag} * 60 AS stage_second FROM {cte} t JOIN docs d ON d.doc_id = t.doc_id"
+        for name, cte, lag in (
+            ("clinical_doc_parsed", "parsed", 5),
+            ("clinical_doc_structured", "structured", 15),
+            ("doc_member_match_candidates", "mcand", 30),
+            ("doc_auth_match_candidates", "acand", 30),
+        )
+    ),
 }
 
 
