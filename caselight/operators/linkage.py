@@ -3,13 +3,21 @@
 Each document gets its best candidate over *all* targets, exactly, without
 comparing pairs.  A candidate's score depends only on which fields agree, so
 for every set of fields the targets are reduced to one row per key (the
-smallest id) and documents look their own keys up.  Agreement weighs more than
-disagreement, hence the best-scoring hit of a document is its best candidate.
-The work is linear in documents plus targets whatever the key distribution.
+smallest id), and each distinct combination of field values looks its own keys
+up once, however many documents have it.  Agreement weighs more than
+disagreement, hence the best-scoring hit of a combination is the best candidate
+of its documents.  The work is linear in documents plus targets whatever the
+key distribution.
+
+Lookups go by a 64-bit hash of the key, with the true key compared on the hit.
+Combinations, index and answers are written once: both sides of every join are
+then plain scans behind an exchange, so adaptive execution can split a hot
+value, and only numbers are aggregated, which keeps to hash tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -20,6 +28,7 @@ from pyspark.sql import functions as F
 from caselight.functions.exact import n_where, pct
 from caselight.functions.exprs import fs_weights, link_confidence, match_class
 from caselight.operators.joins import HOT_KEY_SAMPLE, balanced_lookup
+from caselight.session import materialize
 
 
 @dataclass(frozen=True)
@@ -49,6 +58,10 @@ AUTH_FIELDS = (
 )
 MEMBER_THRESHOLDS = (8.0, 3.0)
 AUTH_THRESHOLDS = (6.0, 2.0)
+# A place, a target number and a field set share 63 bits.
+MOST_FIELDS = 5
+TARGET_BITS = 53
+MOST_TARGETS = 1 << TARGET_BITS
 MEMBER_CONFIDENCE_SCALE = 15.0
 AUTH_CONFIDENCE_SCALE = 10.0
 
@@ -75,18 +88,35 @@ def _agreement_rows(cols: Sequence[Column]) -> Column:
     return F.array(*rows)
 
 
-def _total(fields: Sequence[Compare], agreed: Column, there: Column) -> Column:
-    """Total weight for a set of agreeing fields among those present, from a table of 4**k sums."""
+def _keyed_sets(df: DataFrame, keep: Sequence[str], cols: Sequence[Column]) -> DataFrame:
+    """``keep`` and one row per set of present fields: its code, the set and the values, empty outside of it."""
+    k = [f"_k{i}" for i in range(len(cols))]
+    rows = df.select(*keep, F.explode(_agreement_rows(cols)).alias("_p")).where(F.col("_p").isNotNull())
+    return rows.select(*keep, F.xxhash64("_p._set", *[f"_p.{c}" for c in k]).alias("_code"), "_p.*")
+
+
+def _packed(fields: Sequence[Compare]) -> Column:
+    """Place of the total weight (heaviest first), then target number, then field set, in one integer."""
     size = 1 << len(fields)
+    places = []
+    for mask in range(size):
+        sums = [round(_sum(fields, code, mask), 9) for code in range(size)]
+        order = sorted(set(sums), reverse=True)
+        places += [F.lit(order.index(x)).cast("long") for x in sums]
+    place = F.element_at(F.array(*places), F.col("_there") * size + F.col("_set") + 1)
+    number = F.when(F.col("_t") < MOST_TARGETS, F.col("_t")).otherwise(F.raise_error(F.lit("too many partitions")).cast("long"))
+    return F.shiftleft(place, TARGET_BITS + len(fields)) + F.shiftleft(number, len(fields)) + F.col("_set")
+
+
+def _sum(fields: Sequence[Compare], code: int, mask: int) -> float:
+    """Weight of the fields in ``mask`` when those in ``code`` agree."""
+    return sum((f.weights[0] if code >> i & 1 else f.weights[1]) for i, f in enumerate(fields) if mask >> i & 1)
 
-    def one(code: int, mask: int) -> float:
-        return sum(
-            (f.weights[0] if code >> i & 1 else f.weights[1])
-            for i, f in enumerate(fields)
-            if mask >> i & 1
-        )
 
-    table = F.array(*[F.lit(float(one(c, m))) for m in range(size) for c in range(size)])
+def _total(fields: Sequence[Compare], agreed: Column, there: Column) -> Column:
+    """Total weight for a set of agreeing fields among those present, from a table of 4**k sums."""
+    size = 1 << len(fields)
+    table = F.array(*[F.lit(float(_sum(fields, c, m))) for m in range(size) for c in range(size)])
     return F.element_at(table, there * size + agreed + 1)
 
 
@@ -113,45 +143,43 @@ def best_links(
     """
     if any(f.weights[0] <= f.weights[1] for f in fields):
         raise ValueError("a field must weigh more when it agrees than when it does not")
+    if len(fields) > MOST_FIELDS:
+        raise ValueError(f"at most {MOST_FIELDS} fields")
     names = [f.name for f in fields]
     cols = [F.col(n) for n in names]
     k = [f"_k{i}" for i in range(len(fields))]
+    probe = ["_code", "_set", *k]
+    own = ["_combination", "_there", *k]
     mask = sum((F.when(c.isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0))
+    text = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(cols, k)]
 
-    narrow = docs.select(doc_key, *carry, *names, mask.alias("_there"))
-    probes = (
-        narrow.where(F.col("_there") > 0)
-        .select(doc_key, *carry, "_there", F.explode(_agreement_rows(cols)).alias("_p"))
-        .where(F.col("_p").isNotNull())
-        .select(doc_key, *carry, "_there", "_p.*")
+    keyed = docs.select(doc_key, *carry, mask.alias("_there"), *text)
+    keyed = keyed.withColumn("_combination", F.xxhash64("_there", *k))
+    combinations_ = materialize(
+        keyed.select(*own).distinct().withColumn("_c", F.monotonically_increasing_id()), "combinations"
     )
-    index = (
-        targets.select(target_key, F.explode(_agreement_rows(cols)).alias("_p"))
-        .where(F.col("_p").isNotNull())
-        .select(target_key, "_p.*")
-        .groupBy("_set", *k)
-        .agg(F.min(target_key).alias("_hit"))
+    present = [F.when(F.col("_there").bitwiseAND(F.lit(1 << i)) != 0, F.col(c)) for i, c in enumerate(k)]
+    probes = _keyed_sets(combinations_.where("_there > 0"), ["_c", "_there"], present)
+
+    # Targets are numbered in the order of their ids, so the smallest id is the smallest number.
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = targets.select(target_key, *names).repartitionByRange(n_parts, target_key).sortWithinPartitions(target_key)
+    numbered = materialize(numbered.withColumn("_t", F.monotonically_increasing_id()), "targets")
+    index = materialize(
+        _keyed_sets(numbered.where(F.col(target_key).isNotNull()), ["_t"], cols).groupBy(*probe).agg(F.min("_t").alias("_t")), "index"
     )
-    looked_up = balanced_lookup(probes, index, ["_set", *k], doc_key, hot_rows, fraction)
-    # Misses need not travel to their document, but for one row that keeps it.
-    hits = looked_up.where(F.col("_hit").isNotNull() | (F.col("_set") == F.col("_there")))
-    score = F.struct((-_total(fields, F.col("_set"), F.col("_there"))).alias("neg"), "_hit", "_set")
-    scored = hits.groupBy(doc_key).agg(
-        F.min(F.when(F.col("_hit").isNotNull(), score)).alias("_best"),
-        *[F.any_value(c).alias(c) for c in [*carry, "_there"]],
+    found = probes.join(index, probe).groupBy("_c").agg(F.min(_packed(fields)).alias("_best"))
+    answers = found.select(
+        "_c",
+        F.shiftright("_best", len(fields)).bitwiseAND(F.lit(MOST_TARGETS - 1)).alias("_t"),
+        F.col("_best").bitwiseAND(F.lit((1 << len(fields)) - 1)).cast("int").alias("_agreed"),
     )
+    named = materialize(answers, "answers").join(numbered.select("_t", target_key), "_t").drop("_t")
+    index_rows = combinations_.join(named, "_c", "left").select(*own, target_key, F.coalesce("_agreed", F.lit(0)).alias("_agreed"))
+    looked_up = balanced_lookup(keyed, materialize(index_rows, "links"), own, doc_key, hot_rows, fraction)
     # Nothing agrees anywhere: all targets score alike and the smallest id wins.
     anyone = targets.select(F.min(target_key)).scalar()
-    linked = scored.select(
-        doc_key,
-        *carry,
-        "_there",
-        F.coalesce(F.col("_best._hit"), anyone).alias(target_key),
-        F.coalesce(F.col("_best._set"), F.lit(0)).alias("_agreed"),
-    )
-    blank = narrow.where(F.col("_there") == 0).select(
-        doc_key, *carry, "_there", anyone.alias(target_key), F.lit(0).alias("_agreed")
-    )
+    linked = looked_up.withColumn(target_key, F.coalesce(F.col(target_key), anyone))
     weights = [
         F.round(
             _weight(f, i, F.col("_agreed"), F.col("_there").bitwiseAND(F.lit(1 << i)) != 0), 4
@@ -159,7 +187,7 @@ def best_links(
         for i, f in enumerate(fields)
     ]
     total = F.round(_total(fields, F.col("_agreed"), F.col("_there")), 4).alias("total_weight")
-    return linked.unionByName(blank).select(doc_key, *carry, target_key, *weights, total)
+    return linked.select(doc_key, *carry, target_key, *weights, total)
 
 
 def full_name(first: Column, last: Column) -> Column:
@@ -332,30 +360,59 @@ def agreement_patterns(docs: DataFrame, targets: DataFrame, names: Sequence[str]
     )
 
 
-def estimate_mu(patterns: DataFrame, names: Sequence[str], iterations: int = 50) -> DataFrame:
-    """Agreement probabilities per field by expectation maximisation.
+def estimate_mu(
+    patterns: DataFrame, names: Sequence[str], iterations: int = 1_000, tolerance: float = 1e-14
+) -> DataFrame:
+    """Agreement probabilities per field by expectation maximisation: field, m, u, rounds, converged, log_likelihood.
 
     Spark counts the pairs; the iteration itself runs over those at most 3**k
-    counts.
+    counts, until a round adds less than ``tolerance`` of it to the log
+    likelihood or ``iterations`` rounds were made, which ``converged`` tells apart.
     """
-    rows = [(r["there"], r["agreed"], float(r["pairs"])) for r in patterns.collect()]
-    k = len(names)
-    m, u = [0.9] * k, [0.05] * k
-    share = 1e-3
-    total = sum(n for _, _, n in rows)
-    for _ in range(iterations):
-        hit = [0.0] * k
-        hit_there = [0.0] * k
-        miss = [0.0] * k
-        miss_there = [0.0] * k
+    rows = [(r["there"], r["agreed"], float(r["pairs"])) for r in patterns.orderBy("there", "agreed").collect()]
+    m, u, trace = fit_mu(rows, len(names), iterations, tolerance)
+    rounds = len(trace) - 1
+    done = rounds < iterations or _settled(trace, tolerance)
+    spark = patterns.sparkSession
+    structs = [
+        F.struct(
+            F.lit(n).alias("field"), F.lit(a).alias("m"), F.lit(b).alias("u"), F.lit(rounds).alias("rounds"),
+            F.lit(done).alias("converged"), F.lit(trace[-1]).alias("log_likelihood"),
+        )
+        for n, a, b in zip(names, m, u)
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
+def _settled(trace: Sequence[float], tolerance: float) -> bool:
+    return len(trace) > 1 and trace[-1] - trace[-2] <= tolerance * abs(trace[-1])
+
+
+def fit_mu(
+    rows: Sequence[tuple[int, int, float]], k: int, iterations: int, tolerance: float
+) -> tuple[list[float], list[float], list[float]]:
+    """m, u and the log likelihood before each round and after the last; it never falls."""
+    m, u, share = [0.9] * k, [0.05] * k, 1e-3
+
+    def parts(there: int, agreed: int) -> tuple[float, float]:
+        pm, pu = share, 1 - share
+        for i in range(k):
+            if there >> i & 1:
+                yes = agreed >> i & 1
+                pm *= m[i] if yes else 1 - m[i]
+                pu *= u[i] if yes else 1 - u[i]
+        return pm, pu
+
+    def likelihood() -> float:
+        return math.fsum(n * math.log(sum(parts(there, agreed))) for there, agreed, n in rows)
+
+    total = math.fsum(n for _, _, n in rows)
+    trace = [likelihood()]
+    for _ in range(iterations if rows else 0):
+        hit, hit_there, miss, miss_there = ([0.0] * k for _ in range(4))
         matched = 0.0
         for there, agreed, n in rows:
-            pm, pu = share, 1 - share
-            for i in range(k):
-                if there >> i & 1:
-                    yes = agreed >> i & 1
-                    pm *= m[i] if yes else 1 - m[i]
-                    pu *= u[i] if yes else 1 - u[i]
+            pm, pu = parts(there, agreed)
             g = pm / (pm + pu) if pm + pu > 0 else 0.0
             matched += n * g
             for i in range(k):
@@ -365,15 +422,16 @@ def estimate_mu(patterns: DataFrame, names: Sequence[str], iterations: int = 50)
                     if agreed >> i & 1:
                         hit[i] += n * g
                         miss[i] += n * (1 - g)
-        share = min(max(matched / total, 1e-12), 1 - 1e-12) if total else share
+        share = min(max(matched / total, 1e-12), 1 - 1e-12)
         for i in range(k):
             if hit_there[i] > 0:
                 m[i] = min(max(hit[i] / hit_there[i], 1e-9), 1 - 1e-9)
             if miss_there[i] > 0:
                 u[i] = min(max(miss[i] / miss_there[i], 1e-9), 1 - 1e-9)
-    spark = patterns.sparkSession
-    structs = [F.struct(F.lit(n).alias("field"), F.lit(a).alias("m"), F.lit(b).alias("u")) for n, a, b in zip(names, m, u)]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+        trace.append(likelihood())
+        if _settled(trace, tolerance):
+            break
+    return m, u, trace
 
 
 def member_evidence(structured: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:

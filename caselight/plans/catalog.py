@@ -130,7 +130,7 @@ def link_patterns(reg: Registry) -> DataFrame:
 
 def link_estimate_mu(reg: Registry) -> DataFrame:
     found = L.estimate_mu(_patterns(reg), ["name", "dob", "ssn4"])
-    return found.select("field", F.round("m", 6).alias("m"), F.round("u", 6).alias("u"))
+    return found.select("field", F.round("m", 4).alias("m"), F.round("u", 4).alias("u"), "converged")
 
 
 def quality_by_batch(reg: Registry) -> DataFrame:

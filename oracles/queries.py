@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.sql import N, PAYERS, abs_hash, half_up, mean, n_if, nth, pct, sql
+from oracles.sql import N, PAYERS, abs_hash, digits_of, half_up, mean, n_if, nth, pct, sql
 
 VIEWS = {
     "view_intake_daily": "SELECT * FROM v_intake",
@@ -185,7 +185,7 @@ QUESTIONS = {
     "q30_escalation_type_sentiment": f"SELECT sentiment_overall, {N} AS n FROM sent"
     " WHERE call_type ILIKE '%escal%' GROUP BY 1",
     "q31_low_compliance_month": "SELECT agency_name,"
-    " CAST(round(CAST(CAST(favg(compliance_rate) AS VARCHAR) AS DECIMAL(38, 18)), 4) * 100 AS DOUBLE)"
+    f" {half_up(f'SUM({digits_of("compliance_rate")})', 'CAST(COUNT(*) AS HUGEINT) * 1000000000000000000', 2, 100)}"
     " AS avg_compliance_pct FROM comp WHERE day >= date_trunc('month', (SELECT max(day) FROM comp))"
     " GROUP BY 1 HAVING AVG(compliance_rate) < 0.85",
     "q32_top_ranked_rows": "SELECT agent_name, agent_avg_score, agent_call_count FROM v_calls"
@@ -249,8 +249,11 @@ PATTERN_FIELDS = ("name", "dob", "ssn4")
 THERE = " + ".join(f"CASE WHEN d.{f} IS NOT NULL THEN {1 << i} ELSE 0 END" for i, f in enumerate(PATTERN_FIELDS))
 AGREED = " + ".join(f"CASE WHEN d.{f} = t.{f} THEN {1 << i} ELSE 0 END" for i, f in enumerate(PATTERN_FIELDS))
 
-def estimated(rounds: int = 50) -> str:
-    """Expectation maximisation over the pattern counts, one recursion step per round."""
+def estimated(rounds: int = 1_000, tolerance: float = 1e-14) -> str:
+    """Expectation maximisation over the pattern counts, one recursion step per round.
+
+    A step also holds the log likelihoods of the two steps before it; when they hardly differ, the one before counts.
+    """
     k = range(len(PATTERN_FIELDS))
 
     def product(first: str, p: str) -> str:
@@ -267,21 +270,24 @@ def estimated(rounds: int = 50) -> str:
         return f"least(greatest({hit} / {there}, 1e-9), 1 - 1e-9)"
 
     columns = ", ".join(f"m{i}, u{i}" for i in k)
+    settled = f"coalesce(ll1 - ll2 <= {tolerance} * abs(ll1), false)"
     start = ", ".join("0.9::DOUBLE, 0.05::DOUBLE" for _ in k)
     update = ", ".join(f"{share('n * g', i)}, {share('n * (1 - g)', i)}" for i in k)
     fields = " UNION ALL ".join(
-        f"SELECT '{f}' AS field, round(m{i}, 6) AS m, round(u{i}, 6) AS u FROM em WHERE step = {rounds}"
+        f"SELECT '{f}' AS field, round(m{i}, 4) AS m, round(u{i}, 4) AS u, x1 - x2 <= {tolerance} * abs(x1) AS converged"
+        f" FROM em, last WHERE step = newest - 1"
         for i, f in enumerate(PATTERN_FIELDS)
     )
     return f"""SELECT * FROM (WITH RECURSIVE
       counts AS MATERIALIZED (SELECT {THERE} AS there, {AGREED} AS agreed, CAST(COUNT(*) AS DOUBLE) AS n
         FROM m_docs d CROSS JOIN m_targets t GROUP BY 1, 2),
-      em(step, lambda_, {columns}) AS (SELECT 0, 1e-3::DOUBLE, {start}
+      em(step, lambda_, ll1, ll2, {columns}) AS (SELECT 0, 1e-3::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, {start}
         UNION ALL
-        SELECT step + 1, least(greatest(SUM(n * g) / SUM(n), 1e-12), 1 - 1e-12), {update}
+        SELECT step + 1, least(greatest(SUM(n * g) / SUM(n), 1e-12), 1 - 1e-12), fsum(n * ln(pm + pu)), any_value(ll1), {update}
         FROM (SELECT *, pm / (pm + pu) AS g FROM (SELECT *, {product("lambda_", "m")} AS pm,
-            {product("(1 - lambda_)", "u")} AS pu FROM em, counts WHERE step < {rounds}))
-        GROUP BY step)
+            {product("(1 - lambda_)", "u")} AS pu FROM em, counts WHERE step <= {rounds} AND NOT {settled}))
+        GROUP BY step),
+      last AS (SELECT step AS newest, ll1 AS x1, ll2 AS x2 FROM em ORDER BY step DESC LIMIT 1)
       {fields})"""
 
 

@@ -122,6 +122,49 @@ def test_estimated_probabilities_separate_matches(spark):
         assert abs(r.m - m[i]) < 0.06 and abs(r.u - u[i]) < 0.01
 
 
+def test_likelihood_never_falls_and_rounds_are_told(spark):
+    rng = random.Random(2)
+    for _ in range(20):
+        data = [(there, code, float(rng.randint(1, 10**rng.randint(1, 7)))) for there in (7, 5, 2) for code in range(8) if not code & ~there]
+        _, _, trace = L.fit_mu(data, 3, 300, 1e-14)
+        assert all(b >= a - 1e-12 * abs(a) for a, b in zip(trace, trace[1:]))
+    patterns = spark.createDataFrame([(t, c, int(n)) for t, c, n in data], "there int, agreed int, pairs long")
+    few, many = (L.estimate_mu(patterns, FIELDS, n).first() for n in (2, 20_000))
+    assert (few.rounds, few.converged) == (2, False) and many.converged and many.rounds < 20_000
+    assert many.log_likelihood >= few.log_likelihood
+    assert L.estimate_mu(patterns.limit(0), FIELDS).count() == 3
+
+
+def test_hot_values_are_split_and_numbers_aggregated(spark, tmp_path):
+    """A third of all documents share one combination: the final join splits it, and probes go through hash tables."""
+    docs = spark.range(60_000).select(
+        F.concat(F.lit("d"), "id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "unknown").otherwise(F.concat(F.lit("n"), F.col("id"))).alias("name"),
+        F.when(F.col("id") % 3 == 0, "1970").otherwise(F.concat(F.lit("b"), F.col("id") % 500)).alias("dob"),
+        F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).alias("ssn4"),
+    )
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    members = docs.where("ssn4 IS NOT NULL").select(F.concat(F.lit("m"), "doc_id").alias("mid"), "name", "dob", "ssn4").limit(20_000)
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "6",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.files.maxPartitionBytes": "100k",
+        "spark.sql.files.openCostInBytes": "1k",
+    }
+    before = {c: spark.conf.get(c, None) for c in low}
+    try:
+        for c, v in low.items():
+            spark.conf.set(c, v)
+        found = L.best_links(docs, members, "doc_id", "mid", L.MEMBER_FIELDS)
+        assert len({r.doc_id for r in found.collect()}) == 60_000
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert "skew=true" in plan and "SortAggregate" not in plan.split("Subquery")[0]
+
+
 def test_events_only_for_matches(reg):
     events = reg.table("match_events")
     kinds = {r[0]: r[1] for r in events.groupBy("event_type").count().collect()}
