@@ -21,10 +21,11 @@ from caselight.llm.common import bounded_batches
 
 GRAMS = (5, 4, 3, 2, 1)
 SAMPLE_DOCS = 3_000  # labelled documents per language that the model is fitted on
-SAMPLE_CHARS = 20_000  # words of a training document beyond so many characters of it are not learned from
-MIN_COUNT = 2  # words and n-grams met less often are unseen
+MIN_COUNT = 2  # words and n-grams met less often are unseen, in languages of RARE labelled documents or more
+RARE = 200
 SMOOTH = 0.5
 UNKNOWN = "und"
+HASHES = 1 << 63
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -109,12 +110,12 @@ class Counts:
         return self.made
 
 
-def _count_tokens(lengths: tuple[int, ...], chars: int):
+def _count_tokens(lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in words(text[:chars]).items():
+                for word, n in words(text).items():
                     seen[lang, 0, word] += n
             for (lang, _, word), n in list(seen.items()):
                 for k in lengths:
@@ -135,32 +136,42 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def threshold(sample_docs: int, n: int) -> int:
+    """Hashes of 63 bits up to it choose about ``sample_docs`` of ``n`` documents, however many those are."""
+    return HASHES - 1 if n <= sample_docs else HASHES * sample_docs // n
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, lengths: tuple[int, ...] = GRAMS) -> pa.Table:
     """Counts (lang, kind, token, n) of the labelled documents that are not held out, of which tasks make a model.
 
-    At most about ``sample_docs`` documents a language are read, chosen by a hash of their id, so the model
+    About ``sample_docs`` documents a language are read, each whole, chosen by a hash of their id, so the model
     and what reaches the driver are bounded; it passes the driver as Arrow columns, not as Python objects.
     Rows without id, lang or text are not learned from.
     """
     rows = bounded_batches(docs).select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.where(~held_out())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0)
+    share = F.lit(-1).cast("long")
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1_000_000, sample_docs * 1_000_000 // n)).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < share)
+        share = F.when(F.col("lang") == lang, F.lit(threshold(sample_docs, n))).otherwise(share)
+    chosen = rows.where(F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit(HASHES - 1)) <= share)
+    rare = [lang for lang, n in sizes.items() if n < RARE]
     counts = (
         chosen.select("lang", "text")
-        .mapInArrow(_count_tokens(lengths, SAMPLE_CHARS), "lang string, kind int, token string, n long")
+        .mapInArrow(_count_tokens(lengths), "lang string, kind int, token string, n long")
         .groupBy("lang", "kind", "token")
         .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= MIN_COUNT)
+        .where((F.col("n") >= MIN_COUNT) | F.col("lang").isin(rare))
     )
     return counts.toArrow()
 
 
 def language(docs: DataFrame, counts: pa.Table, text: str = "text") -> Column:
-    """Struct of lang_pred and score for a text column; the text alone decides."""
+    """Struct of lang_pred and score for a text column; the text alone decides.
+
+    Of languages that are equally likely the first by name is taken.  The column counts as not deterministic, so that a
+    filter on it does not make Spark evaluate it twice.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(Counts(counts))
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -170,7 +181,7 @@ def language(docs: DataFrame, counts: pa.Table, text: str = "text") -> Column:
         found = [model.predict(t) for t in texts.to_pylist()]
         return pa.array([{"lang_pred": a, "score": b} for a, b in found], kind)
 
-    return predict(F.col(text))
+    return predict.asNondeterministic()(F.col(text))
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

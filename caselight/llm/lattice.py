@@ -94,6 +94,7 @@ def _cells(tables: int, lattices: int, probes: int, scale: float, seed: int):
                 rows = np.flatnonzero(dims == dim)
                 flat = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
                 unit = flat.reshape(-1, dim).astype(np.float64)
+                unit = np.ldexp(unit, -np.frexp(np.abs(unit).max(axis=1, keepdims=True))[1])
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 sides = projections(int(dim), tables, lattices, seed)
                 for t in range(tables):
@@ -118,7 +119,7 @@ def _cells(tables: int, lattices: int, probes: int, scale: float, seed: int):
                     home[:, 0] = True
                     wide = np.broadcast_to(ids[rows][:, None], cell.shape)
                     # Vectors of other lengths never share a cell.
-                    cols = [wide.ravel(), np.full(cell.size, t * 100_000 + dim), cell.ravel(), home.ravel()]
+                    cols = [wide.ravel(), np.full(cell.size, dim * tables + t), cell.ravel(), home.ravel()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3])],
                         ["id", "table", "cell", "home"],
@@ -128,12 +129,14 @@ def _cells(tables: int, lattices: int, probes: int, scale: float, seed: int):
 
 
 def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Cosines of vectors of any magnitude: each is first divided by a power of two, which changes no digit."""
     if not len(a):
         return pa.array([], pa.float64())
     counts = a.value_lengths().to_numpy(zero_copy_only=False)
     edge = np.concatenate([[0], np.cumsum(counts)[:-1]])
     x = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     y = b.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x, y = (np.ldexp(v, -np.repeat(np.frexp(np.maximum.reduceat(np.abs(v), edge))[1], counts)) for v in (x, y))
     dot, xx, yy = (np.add.reduceat(v, edge) for v in (x * y, x * x, y * y))
     return pa.array(dot / (np.sqrt(xx) * np.sqrt(yy)))
 
@@ -177,7 +180,9 @@ def near_pairs(
     )
     first = kinds.select(F.col("id").alias("a"), F.col("embedding").alias("x"))
     second = kinds.select(F.col("id").alias("b"), F.col("embedding").alias("y"))
-    compared = proposed.join(first, "a").join(second, "b").where(F.arrow_udf(_cosine, "double")("x", "y") >= cosine)
+    found = F.arrow_udf(_cosine, "double")("x", "y")
+    compared = proposed.join(first, "a").join(second, "b").withColumn("cosine", found)
+    compared = compared.where(~F.isnan("cosine") & (F.col("cosine") >= cosine))
     return stage(compared.select("a", "b"), "pairs")
 
 
@@ -208,6 +213,8 @@ def link(vectors: DataFrame, cosine: float = COSINE, **how) -> DataFrame:
         .join(roots, "id", "left")
         .select("id", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("root", "vec_id").alias("component_id"))
     )
+    # Written, so that both sides of the next join are scans and the rows of one much repeated vector can be split.
+    per_kind = stage(per_kind, "linked")
     linked = named.join(per_kind, "id").select("vec_id", (F.col("n") - 1 + F.col("near")).alias("n_links"), "component_id")
     alone = rows.where(~good).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")

@@ -171,10 +171,13 @@ def groups(
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest doc_id; rows without doc_id stay."""
+    """``docs`` with one row of each group, that of the smallest doc_id; rows without doc_id stay.
+
+    Where several texts share that doc_id, one row of each text stays.
+    """
     found = groups(docs, **how)
     heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
     named = docs.join(heads, F.col("doc_id") == F.col("__head"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
     named = named.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
     return named.unionByName(docs.where("doc_id IS NULL"))

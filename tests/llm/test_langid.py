@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -19,6 +22,70 @@ def test_only_training_rows_teach(docs, spark):
     assert a == b
 
 
+def brute(rows):
+    """lang_pred and score by plain loops over dictionaries, for ``rows`` of (doc_id, lang, text)."""
+    own = [(lang, t) for d, lang, t in rows if None not in (d, lang, t) and zlib.crc32(str(d).encode()) % 3 != 1]
+    n_docs = Counter(lang for lang, _ in own)
+    seen = Counter()
+    for lang, text in own:
+        for word in tokens(text):
+            seen[lang, 0, word] += 1
+            for k in G.GRAMS:
+                bounded = f" {word} " if k > 1 else word
+                for i in range(len(bounded) - k + 1):
+                    seen[lang, k, bounded[i : i + k]] += 1
+    seen = {key: n for key, n in seen.items() if n >= G.MIN_COUNT or n_docs[key[0]] < G.RARE}
+    langs = sorted({lang for lang, *_ in seen})
+    kinds = {k: {t for _, kind, t in seen if kind == k} for k in (0, *G.GRAMS)}
+    total = {(lang, k): sum(n for (a, b, _), n in seen.items() if (a, b) == (lang, k)) for lang in langs for k in kinds}
+
+    def log(lang, k, token):
+        return math.log((seen.get((lang, k, token), 0) + G.SMOOTH) / (total[lang, k] + G.SMOOTH * (len(kinds[k]) + 1)))
+
+    def word_logs(word):
+        if word in kinds[0]:
+            return [log(lang, 0, word) for lang in langs]
+        for k in G.GRAMS:
+            bounded = f" {word} " if k > 1 else word
+            known = [g for i in range(len(bounded) - k + 1) if (g := bounded[i : i + k]) in kinds[k]]
+            if known:
+                return [sum(log(lang, k, g) for g in known) / len(known) for lang in langs]
+        return [0.0] * len(langs)
+
+    out = []
+    for d, _, text in rows:
+        found = tokens(text or "")
+        if not found or not langs:
+            out.append((d, text, "und", 0.0))
+            continue
+        sums = [math.fsum(x) for x in zip(*map(word_logs, found), strict=True)]
+        top = max(sums)
+        out.append((d, text, langs[sums.index(top)], 1 / math.fsum(math.exp(x - top) for x in sums)))
+    return out
+
+
+def tokens(text):
+    found = re.findall(r"[^\W\d_]+", text.lower())
+    return found if any(map(str.isalpha, "".join(found))) else []
+
+
+def test_predictions_equal_brute_force(docs, odd):
+    few = docs.where("length(text) < 3000 AND doc_id < 120")
+    for df in (few, odd):
+        got = sorted(((r.doc_id, r.text, r.lang_pred, r.score) for r in G.identify(df).collect()), key=repr)
+        rows = [(r.doc_id, r.lang, r.text) for r in df.select("doc_id", "lang", "text").collect()]
+        for a, b in zip(got, sorted(brute(rows), key=repr), strict=True):
+            assert a[:2] == b[:2] and a[3] == pytest.approx(b[3], abs=1e-9)
+            assert a[2] == b[2] or a[3] == pytest.approx(0.5, abs=1e-6)  # sums equal but for rounding
+
+
+def test_sample_of_a_very_large_language():
+    assert G.threshold(3_000, 2_999) == G.threshold(3_000, 3_000) == (1 << 63) - 1
+    for n in (10**6, 3 * 10**9, 10**13):
+        share = G.threshold(3_000, n) / 2**63
+        assert share * n == pytest.approx(3_000, rel=1e-3)
+
+
 def test_words_first_then_shorter_ngrams():
     counts = [("en", 0, "the", 5), ("de", 0, "der", 5), ("de", 3, "sch", 4), ("en", 2, "wh", 4), ("de", 1, "z", 2)]
     columns = [G.pa.array(c) for c in zip(*counts)]

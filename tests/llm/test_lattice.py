@@ -90,3 +90,13 @@ def test_recall_at_the_threshold(spark, lattices):
     found = {tuple(sorted((name[r.a], name[r.b]))) for r in L.near_pairs(kinds, lattices=lattices).collect()}
     assert found <= {(i, i + 600) for i in range(600)}
     assert len(found) >= 0.9 * 600
+
+
+def test_extreme_magnitudes(spark):
+    rows = [
+        (1, [1e200, 0.0]), (2, [0.0, 1e200]), (3, [1e-200, 0.0]), (4, [0.0, 1e-200]), (5, [2e200, 4e200]), (6, [1.0, 2.0]),
+        (7, [1e300, 1e-300]), (8, [5e-324, 0.0]), (9, [1e308, 1e308, 1e308]), (10, [1e-308, 1e-308, 1e-308]),
+    ]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in L.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[5] == got[6] == (1, 5) and got[9] == got[10] == (1, 9)
+    assert [got[i] for i in (1, 3, 7, 8)] == [(3, 1)] * 4 and [got[i] for i in (2, 4)] == [(1, 2)] * 2

@@ -73,3 +73,9 @@ def test_one_of_each_group_stays(odd, docs, none):
         assert sorted(i for i in ids if i is not None) == sorted(heads)
         assert ids.count(None) == df.where("doc_id IS NULL").count()
     assert H.keep_one(none).count() == 0
+
+
+def test_other_texts_of_one_id_stay(spark):
+    rows = [(7, "one text about some thing or other"), (7, "quite unrelated words in this row"), (7, "one text about some thing or other")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
