@@ -40,3 +40,14 @@ def test_odd_rows(spark, sf, odd, none):
             df = stage(spark, df, sf)
             df = spark.createDataFrame(df.collect(), df.schema)
         assert {"position", "copy", "words", "text", "kept", "print"} <= set(df.columns)
+
+
+def test_characters_cut_through_go_and_others_stay(spark, sf):
+    same = "x" * 60
+    mark, odd = "second doc \ufffd kept mark", "\ufdd0\ufdd1 \ufdd0\ufdd2"
+    # The repeat ends within a character: the first byte of the two letters is the same, the second is not.
+    rows = [(1, f"{same}\u00e9 tail"), (2, f"{mark} {odd} {same}\u00e8 end")]
+    full = [(i, t, "en", "a", len(t)) for i, t in rows]
+    df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.cut_repeats(spark, df, sf).collect()}
+    assert got[1] == rows[0][1] and got[2] == f"{mark} {odd}  end"
