@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselight.llm import langid, mixing, simhash, suffix_dedup, wu_manber
@@ -34,13 +34,21 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(
         docs.withColumnsRenamed(inner), columns=("kept",), keep=("doc_id", *inner.values())
     ).withColumn("kept", F.col("kept").cast("string"))
-    text = F.when(F.is_valid_utf8("kept"), F.col("kept")).otherwise(
-        F.regexp_replace(F.make_valid_utf8("kept"), "\ufffd", "")
-    )
+    text = F.when(F.is_valid_utf8("kept"), F.col("kept")).otherwise(_without_stumps(F.col("kept")))
     cut = cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return cut.select(*[F.col(inner[c]).alias(c) if c in inner else F.col(c) for c in docs.columns])
 
 
+def _without_stumps(text: Column) -> Column:
+    """Text without the bytes that are no character; U+FFFD of the text's own, told apart by an escape, stay."""
+    for old, new in (("\ufdd0", "\ufdd0\ufdd2"), ("\ufffd", "\ufdd0\ufdd1")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.make_valid_utf8(text)
+    for old, new in (("\ufffd", ""), ("\ufdd0\ufdd1", "\ufffd"), ("\ufdd0\ufdd2", "\ufdd0")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words stand in benchmark windows go."""
     found = wu_manber.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), name="__hits")
