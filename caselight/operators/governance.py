@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from caselight.functions.exact import n_where
 from caselight.sources.tables import append_missing
 
-INLINE_GRANTS = 500
-
 IDENTIFIERS = frozenset(
     {
         "first_name", "last_name", "middle_initial", "dob", "ssn4", "address_line1", "city", "zip",
@@ -21,20 +19,26 @@ IDENTIFIERS = frozenset(
 )
 
 
+NOBODY = "\u0000"  # stands for "no payer" in the join below; no payer code has it
+
+
 def visible(
-    df: DataFrame, grants: DataFrame, user: str, col: str = "payer_code", inline: int = INLINE_GRANTS
+    df: DataFrame, grants: DataFrame, user: str, col: str = "payer_code", inline: int = 0
 ) -> DataFrame:
-    """Rows without a payer, or of a payer ``user`` holds a grant for.
+    """Rows without a payer, or of a payer ``user`` holds a grant for, by an existence join that each query evaluates.
 
-    Up to ``inline`` grants become an IN list, which reaches the scan as a
-    pushed filter; more of them are met by a join.  Grants count as of now.
+    The user's grants are one row per payer at most, so adaptive execution broadcasts them once it knows their
+    size, and prunes the folders of a table partitioned by payer.  With ``inline``, up to that many grants as they are
+    now become an IN list instead, which reaches the scan as a pushed filter but keeps to the grants of this moment.
     """
-    granted = grants.where(F.col("user_email") == user).select(F.col("payer_id").alias("_payer")).distinct()
-    codes = [r["_payer"] for r in granted.limit(inline + 1).collect()]
-    if len(codes) <= inline:
-        return df.where(F.col(col).isNull() | F.col(col).isin(codes))
-    kept = df.join(granted.withColumn("_granted", F.lit(True)), F.col(col) == F.col("_payer"), "left")
-    return kept.where(F.col(col).isNull() | F.col("_granted")).drop("_payer", "_granted")
+    granted = grants.where(F.col("user_email") == user).select(F.col("payer_id").alias("_payer"))
+    if inline:
+        codes = [r["_payer"] for r in granted.distinct().limit(inline + 1).collect()]
+        if len(codes) <= inline:
+            return df.where(F.col(col).isNull() | F.col(col).isin(codes))
+    without = df.sparkSession.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias("_payer"))
+    seen = granted.where(F.col("_payer").isNotNull()).unionByName(without)
+    return df.join(seen, F.coalesce(col, F.lit(NOBODY)) == F.coalesce("_payer", F.lit(NOBODY)), "left_semi")
 
 
 def grant_all(mapping: DataFrame, user: str, payers: DataFrame, granted_at: Column, by: str) -> DataFrame:

@@ -28,7 +28,8 @@ Loader = Callable[["Registry"], DataFrame]
 class Registry:
     """Resolves table names to DataFrames.
 
-    Tables are built on first use.  With a ``user``, rows of payers the user
+    Tables are built on first use; a ``live`` registry builds them anew on every use, so rows, files and grants
+    that were stored since count.  With a ``user``, rows of payers the user
     holds no grant for are removed at the source, before any rank, share or
     mean is computed above them.
     """
@@ -39,8 +40,10 @@ class Registry:
         loaders: Mapping[str, Loader],
         user: str | None = None,
         prefix: str = "",
+        live: bool = False,
     ):
         self.spark = spark
+        self.live = live
         self.user = user
         self.prefix = prefix
         self._loaders = dict(loaders)
@@ -57,20 +60,21 @@ class Registry:
         prefix: str = "",
         text_dates: bool = False,
         fmt: str = "parquet",
+        live: bool = False,
     ) -> Registry:
         """Tables stored as ``<folder>/<name>.<fmt>``."""
         loaders = {
             n: partial(lambda reg, name: read_table(reg.spark, folder, name, text_dates, fmt), name=n)
             for n in names
         }
-        return cls(spark, loaders, user, prefix)
+        return cls(spark, loaders, user, prefix, live)
 
     def names(self) -> list[str]:
         return sorted(n for n in self._loaders if not n.startswith("_"))
 
     def raw(self, name: str) -> DataFrame:
         """Table without the row filter, for jobs that maintain it."""
-        if name not in self._raw:
+        if name not in self._raw or self.live:
             if name not in self._loaders:
                 raise KeyError(f"unknown table {name!r}")
             self._raw[name] = self._loaders[name](self)
@@ -80,7 +84,7 @@ class Registry:
         """Table as the user may see it."""
         if self.user is None or name not in PAYER_TABLES:
             return self.raw(name)
-        if name not in self._seen:
+        if name not in self._seen or self.live:
             self._seen[name] = visible(self.raw(name), self.raw("payer_access_mapping"), self.user)
         return self._seen[name]
 
@@ -92,14 +96,14 @@ class Registry:
 
     def as_user(self, user: str | None) -> Registry:
         """The same tables for another user; a later ``put`` on either registry leaves the other as it is."""
-        other = Registry(self.spark, self._loaders, user, self.prefix)
+        other = Registry(self.spark, self._loaders, user, self.prefix, self.live)
         other._raw = dict(self._raw)
         return other
 
     def copy(self) -> Registry:
         """A registry whose tables start as these and can be replaced on their own."""
         loaders = {n: (lambda _reg, name=n: self.raw(name)) for n in self._loaders}
-        return Registry(self.spark, loaders, self.user, self.prefix)
+        return Registry(self.spark, loaders, self.user, self.prefix, self.live)
 
     def publish(self, names=None) -> list[str]:
         """Register tables as temp views under the prefix."""

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from caselight.operators import governance as G
 from caselight.plans import views as V
-from caselight.sources.registry import PAYER_TABLES
+from caselight.sources.registry import PAYER_TABLES, Registry
 from caselight.sources.schemas import SCHEMAS
 from conftest import rows
 
@@ -20,10 +20,39 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     df = spark.createDataFrame([(1, "A"), (2, None)], "id int, payer_code string")
     df.write.parquet(f"{tmp_path}/t")
     grants = spark.createDataFrame([("u", "A")], "user_email string, payer_id string")
-    plan = G.visible(spark.read.parquet(f"{tmp_path}/t"), grants, "u")._jdf.queryExecution().executedPlan().toString()
+    plan = G.visible(spark.read.parquet(f"{tmp_path}/t"), grants, "u", inline=500)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(IsNull(payer_code)" in plan
 
 
+def test_revoked_grants_count_at_once(spark, reg, tmp_path):
+    for name in ("clinical_document", "payer_access_mapping"):
+        reg.raw(name).write.parquet(f"{tmp_path}/{name}.parquet")
+    names, user = ["clinical_document", "payer_access_mapping"], "two@example.org"
+    stored = Registry.from_folder(spark, str(tmp_path), names, user=user, live=True)
+    every = {r[0] for r in stored.raw("clinical_document").select("payer_code").distinct().collect()}
+
+    def seen():
+        return {r[0] for r in stored.table("clinical_document").select("payer_code").distinct().collect()}
+
+    held = seen()
+    assert held < every and V.intake_daily(stored).count()
+    first = sorted(p for p in held if p)[0]
+    left = spark.createDataFrame(reg.raw("payer_access_mapping").where(~((F.col("user_email") == user) & (F.col("payer_id") == first))).collect(), reg.raw("payer_access_mapping").schema)
+    left.write.mode("overwrite").parquet(f"{tmp_path}/payer_access_mapping.parquet")
+    assert seen() == held - {first}
+
+
+def test_filter_prunes_payer_folders(spark, tmp_path):
+    rows_ = [(i, p) for i in range(40) for p in ("A", "B", "C", None)]
+    df = spark.createDataFrame(rows_, "id int, payer_code string")
+    df.write.partitionBy("payer_code").parquet(f"{tmp_path}/t")
+    spark.createDataFrame([("u", "A"), ("v", "B")], "user_email string, payer_id string").write.parquet(f"{tmp_path}/g")
+    found = G.visible(spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/g"), "u")
+    assert {r.payer_code for r in found.collect()} == {"A", None} and found.count() == 80
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression" in plan and "LeftSemi" in plan
+
+
 def test_all_grants_show_everything(reg):
     everyone = reg.as_user("all@example.org")
     for name in PAYER_TABLES:
