@@ -1,13 +1,15 @@
-"""Removal of repeated lines by global hashing.
+"""Removal of repeated lines and sentences by global hashing.
 
-Lines are normalised (A-Z lower-cased, blanks collapsed and trimmed) and hashed.  Of each digest the line of
-the smallest doc_id stays, in that document the first one; all others go, wherever they stand.  Lines without a
-visible character are no units and stay.
+Lines, and the sentences of ``SENTENCE_WORDS`` words or more within them, are normalised (A-Z lower-cased, blanks
+collapsed and trimmed) and hashed.  Of each digest the unit of the smallest doc_id stays, in that document the first
+one; all others go, wherever they stand, so a passage that stands within longer lines goes but for the sentences it
+shares with its surroundings.  Lines without a visible character are no units and stay.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,24 +21,43 @@ from pyspark.sql import functions as F
 from caselight.llm.common import as_bytes, bounded_batches, stage, text_tag
 
 
-def units(text: bytes | None) -> list[tuple[int, int, bytes | None]]:
-    """(first, last, digest) of each line; last is behind its line feed, blank lines have no digest."""
+SENTENCE_WORDS = 5
+_SENTENCE = re.compile(rb"[^.!?]*[.!?]+[ \t\r\x0b\x0c]*|[^.!?]+")
+
+Unit = tuple[int, int, bytes | None]
+
+
+def units(text: bytes | None) -> list[tuple[Unit, list[Unit]]]:
+    """(first, last, digest) of each line and of its sentences, when it has several.
+
+    ``last`` of a line and of its last sentence is behind the line feed; blank lines and short sentences have no digest.
+    """
     out, at = [], 0
     for line in (text or b"").split(b"\n"):
         end = min(at + len(line) + 1, len(text or b""))
-        norm = b" ".join(line.lower().split())
-        out.append((at, end, xxhash.xxh3_128_digest(norm) if norm else None))
+        words = line.lower().split()
+        own = (at, end, xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+        inner: list[Unit] = []
+        pieces = _SENTENCE.findall(line)
+        if len(pieces) > 1:
+            for piece in pieces:
+                words = piece.lower().split()
+                many = len(words) >= SENTENCE_WORDS
+                inner.append((at, at + len(piece), xxhash.xxh3_128_digest(b" ".join(words)) if many else None))
+                at += len(piece)
+            inner[-1] = (inner[-1][0], end, inner[-1][2])
+        out.append((own, inner))
         at = end
     return out
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hi, lo, doc, tag): the different lines of each document."""
+    """(hi, lo, doc, tag): the different units of each document."""
     for batch in batches:
         found: list[bytes] = []
         many = []
         for text in as_bytes(batch.column(2)):
-            own = {d for _, _, d in units(text) if d}
+            own = {d for line, inner in units(text) for _, _, d in (line, *inner) if d}
             found += own
             many.append(len(own))
         halves = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
@@ -62,12 +83,19 @@ def _cut(columns: list[str]):
             for text, gone in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 seen = {g["hi"].to_bytes(8, "big", signed=True) + g["lo"].to_bytes(8, "big", signed=True) for g in gone or ()}
                 spans, kept, lines = [], [], units(text)
-                for first, last, digest in lines:
-                    if digest and digest in seen:
-                        spans.append({"first": first, "last": last})
-                    else:
-                        kept.append(text[first:last] if text else b"")
-                    seen.add(digest)
+                for line, inner in lines:
+                    whole_goes = line[2] and line[2] in seen
+                    seen.add(line[2])
+                    if whole_goes:
+                        spans.append({"first": line[0], "last": line[1]})
+                    elif not inner and text:
+                        kept.append(text[line[0] : line[1]])
+                    for first, last, digest in inner:
+                        if not whole_goes and digest and digest in seen:
+                            spans.append({"first": first, "last": last})
+                        elif not whole_goes:
+                            kept.append(text[first:last])
+                        seen.add(digest)
                 body = b"".join(kept)
                 removed = len(text or b"") - len(body)
                 row = (len(lines) if text else 0, len(spans), removed, hashlib.sha256(body).hexdigest(), spans, body.decode())
@@ -83,6 +111,8 @@ def _cut(columns: list[str]):
 def remove_repeated_lines(docs: DataFrame, columns: tuple[str, ...] = tuple(_DDL)) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, bytes_removed, kept_sha256, removed spans (byte offsets), kept text.
 
+    ``n_removed`` counts lines and, in lines that stay, sentences.
+
     Null and empty texts have no lines.  Documents of the same doc_id are not earlier than each other; rows
     without doc_id lose only their own inner repeats and make nothing else go.
     """

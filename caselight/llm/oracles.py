@@ -9,17 +9,28 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS pos, len(string_split(text, chr(10))) AS n
   FROM documents WHERE text <> ''
+), w AS (
+  SELECT *, regexp_extract_all(line, '[^.!?]*[.!?]+[ \\t\\r\\x0b\\x0c]*|[^.!?]+') AS p FROM l
 ), u AS (
-  SELECT *, trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[ \\t\\r\\x0b\\x0c]+', ' ', 'g')) AS norm,
-         line || CASE WHEN pos < n THEN chr(10) ELSE '' END AS whole
-  FROM l
+  SELECT doc_id, pos, 0 AS sub, line AS piece FROM w
+  UNION ALL
+  SELECT doc_id, pos, generate_subscripts(p, 1) AS sub, unnest(p) AS piece FROM w WHERE len(p) > 1
+), v AS (
+  SELECT *, trim(regexp_replace(translate(piece, '{UPPER}', '{LOWER}'), '[ \\t\\r\\x0b\\x0c]+', ' ', 'g')) AS norm FROM u
+), c AS (
+  SELECT *, norm <> '' AND (sub = 0 OR len(string_split(norm, ' ')) >= 5) AS unit FROM v
 ), r AS (
-  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM u
+  SELECT *, unit AND row_number() OVER (PARTITION BY norm, unit ORDER BY doc_id, pos, sub) > 1 AS again FROM c
+), x AS (
+  SELECT r.doc_id, r.pos, r.sub, r.again AS gone,
+         r.piece || CASE WHEN w.pos < w.n AND r.sub IN (0, len(w.p)) THEN chr(10) ELSE '' END AS whole
+  FROM r JOIN w USING (doc_id, pos) JOIN (SELECT doc_id, pos, again AS line_gone FROM r WHERE sub = 0) g USING (doc_id, pos)
+  WHERE (r.sub = 0) = (line_gone OR len(w.p) <= 1)
 ), s AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  SELECT doc_id, count(DISTINCT pos) AS n_lines, count(*) FILTER (gone) AS n_removed,
          coalesce(sum(strlen(whole)) FILTER (gone), 0) AS bytes_removed,
-         coalesce(string_agg(whole, '' ORDER BY pos) FILTER (NOT gone), '') AS kept
-  FROM r GROUP BY doc_id
+         coalesce(string_agg(whole, '' ORDER BY pos, sub) FILTER (NOT gone), '') AS kept
+  FROM x GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
        coalesce(bytes_removed, 0)::BIGINT AS bytes_removed, sha256(coalesce(kept, '')) AS kept_sha256

@@ -29,7 +29,8 @@ def test_line_dedup_odd_rows(odd, none):
     assert len(rows) == odd.count() and line_dedup.remove_repeated_lines(none).count() == 0
     by = {r.doc_id: r for r in rows}
     assert by[2].n_lines == 0 and by[3].n_removed == 0 and by[4].kept == " \n\t "
-    assert by[1].n_removed == 0 and by[9].kept == "" and by[5].n_removed == 0
+    assert by[1].n_removed == 0 and by[9].kept == ""
+    assert by[5].n_removed == 1 and by[5].kept == "More words follow here."
     assert sorted(r.n_removed for r in rows if r.doc_id is None) == [0, 0]
 
 
@@ -41,6 +42,19 @@ def test_line_dedup_spans(spark):
     assert by[2].kept_sha256 == hashlib.sha256(b"x\nnew").hexdigest() and by[2].bytes_removed == 8
 
 
+def test_passages_within_longer_lines_go(spark):
+    passage = "One two three four five. Six seven eight nine ten eleven! Is it so? Twelve thirteen fourteen fifteen sixteen."
+    rows = [(1, f"Start here. {passage} And so on."), (2, f"Other words before it. {passage.upper()}  Then more\nlast"), (3, f"x {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r.doc_id: r for r in line_dedup.remove_repeated_lines(df).collect()}
+    assert by[1].n_removed == 0 and by[2].n_removed == 3 and by[2].kept == "Other words before it. IS IT SO? Then more\nlast"
+    assert by[3].kept == "x One two three four five. Is it so? "
+    for r in by.values():
+        text = dict(rows)[r.doc_id].encode()
+        cut = b"".join(text[a:b] for a, b in zip([0, *(s.last for s in r.spans)], [*(s.first for s in r.spans), len(text)], strict=True))
+        assert cut.decode() == r.kept and len(text) - len(cut) == r.bytes_removed
+
+
 @pytest.mark.parametrize(("send", "send_pairs"), [(0, 0), (10**9, 10**9), (0, 10**9), (4, 4)])
 def test_scores(spark, odd, none, send, send_pairs):
     df = spark.createDataFrame([(1, "a b a b"), (2, "A c"), (3, None), (4, " "), (5, "d")], "doc_id long, text string")
