@@ -150,3 +150,21 @@ _OWN = {
 def view_comments(view: str) -> dict[str, str]:
     """Comment per column name; unknown columns of a view are skipped by the caller."""
     return {**_SHARED, **_OWN.get(view, {})}
+
+
+VIEW_COMMENTS: dict[str, str] = {
+    "intake_daily": "Documents received per day, with change, rolling means and volume spikes",
+    "intake_daily_by_payer": "Documents received per day and payer; means and spikes stay within a payer",
+    "match_detail_ranked": "Member candidates with rank and context within document type and channel",
+    "match_detail_by_payer": "Member candidates with payer, risk tier and extraction flags",
+    "auth_match_daily": "Authorization candidates per day and class, with weekly change and shares",
+    "data_quality_daily": "Parsing quality per day, with rolling means and degradation flag",
+    "kpi_snapshot": "Counts over the whole processing, one row each",
+    "call_scores": "Scored calls with agent, agency and call-type context",
+    "call_sentiment": "Summary and sentiment of each call",
+    "compliance_daily": "Compliance per day, call type and agency, with trends, ranks and runs below the floor",
+    "pa_decisions_daily": "Authorization decisions per day, payer and urgency, against their time target",
+    "payer_mix": "Volume, readability and decisions per payer",
+    "call_ops_daily_by_created": "Queue and handle times per day of scoring, agency and call type",
+    "call_ops_daily": "Queue and handle times per day of the overlay call time, agency and call type",
+}
