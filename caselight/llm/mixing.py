@@ -2,7 +2,9 @@
 
 Each source has a weight schedule over training time t in [0, 1], a straight line from ``start`` to ``end``.
 Its integral, scaled to the words that the mix takes from the source, is the source's cumulative demand.  The
-k-th word of a source is wanted when that demand reaches k, so inverting it gives each document its position.
+k-th word of a source is wanted when that demand reaches k, so inverting it gives each document its position,
+and a range sort by position the training order.  Positions are times: where the schedules' sum changes over
+training, so does the number of words that a unit of time takes, but not their order.
 
 Only sizes travel, never texts.  Cumulative sums run in two steps, over the totals of hash ranges and within a
 range, so a source of any size is spread over as many tasks as there are ranges.
@@ -127,6 +129,17 @@ def assign(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = W
     )
 
 
+def _range_sorted(df: DataFrame, *ties: str) -> DataFrame:
+    """Rows in training order over ranges of positions, those without one at the end."""
+    order = [F.col("position").asc_nulls_last(), *ties]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def first_uses(assigned: DataFrame) -> DataFrame:
+    """One row per document, range-sorted by the training position of its first use; unused ones come last."""
+    return _range_sorted(assigned, "doc_id", "size")
+
+
 def training_order(assigned: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per use of a document, range-sorted by training position: what a training run reads in order.
 
@@ -145,7 +158,7 @@ def training_order(assigned: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         "doc_id",
         *keep,
     )
-    return placed.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+    return _range_sorted(placed, "doc_id", "copy")
 
 
 def cut_words(text: Column, words: Column, size: Column) -> Column:

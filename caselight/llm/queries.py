@@ -74,7 +74,7 @@ def op8_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.assign(table(spark, sf_dir, "documents"))
+    mixed = mixing.first_uses(mixing.assign(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselight.llm import mixing as X
+from caselight.llm.queries import op9_source_mixing
 
 WEIGHTS = (5, 2, 1)
 
@@ -79,6 +80,20 @@ def test_training_order(docs):
     assert words == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
 
 
+def test_query_is_in_training_order(spark, sf):
+    query = op9_source_mixing(spark, sf)
+    assert "rangepartitioning(position" in query._jdf.queryExecution().executedPlan().toString()
+    rows = query.collect()
+    at = [(r.position is None, r.position or 0, r.doc_id) for r in rows]
+    assert at == sorted(at) and len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_unused_documents_come_last(odd):
+    rows = X.first_uses(X.assign(odd)).collect()
+    unused = [r.position is None for r in rows]
+    assert len(rows) == 16 and any(unused) and unused == sorted(unused)
+
+
 def test_cut_words(spark):
     df = spark.createDataFrame([("a  b\nc ", 3, 3), ("a  b\nc ", 2, 3), ("a", 0, 1)], "t string, w int, n int")
     assert [r[0] for r in df.select(X.cut_words(F.col("t"), F.col("w"), F.col("n"))).collect()] == ["a  b\nc ", "a b", ""]
