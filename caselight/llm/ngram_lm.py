@@ -42,9 +42,9 @@ class _Batch:
         real = pc.not_equal(words, "")
         kept = words.filter(real).dictionary_encode()
         self.code = kept.indices.to_numpy().astype(np.int64)
-        self.hash = np.array(
-            [xxhash.xxh64_intdigest(w, 42) for w in kept.dictionary.to_pylist()], np.uint64
-        ).view(np.int64)
+        # To numpy at once: to_pylist makes a scalar a word, which takes longer than cutting and hashing it.
+        distinct = kept.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        self.hash = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in distinct), np.uint64, len(distinct)).view(np.int64)
         self.doc = np.repeat(np.arange(len(texts)), per_text)[real.to_numpy(zero_copy_only=False)]
         self.later = np.concatenate([[False], self.doc[1:] == self.doc[:-1]])[: len(self.doc)]
 

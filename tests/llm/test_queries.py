@@ -2,9 +2,12 @@
 
 import gzip
 import hashlib
+import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -69,6 +72,29 @@ def test_scores(spark, odd, none, send, send_pairs):
     assert ngram_lm.score(none, send=send, send_pairs=send_pairs).count() == 0
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_hashes_of_words(kind):
+    batch = ngram_lm._Batch(pa.array(["a é a b", None, "", f" x\n{'long' * 100} "], kind))
+    words = ["a", "é", "a", "b", "x", "long" * 100]
+    assert [int(h) % 2**64 for h in batch.hash[batch.code]] == [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    assert batch.doc.tolist() == [0, 0, 0, 0, 3, 3] and len(ngram_lm._Batch(pa.array([None, " "], kind)).hash) == 0
+
+
+def test_words_are_not_taken_from_arrow_one_by_one():
+    """Cutting and hashing many distinct words takes less than a scalar for each of them alone."""
+    words = [f"w{i:x}" for i in range(100_000)]
+    texts, distinct = pa.array([" ".join(words)]), pa.array(words)
+
+    def seconds(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    own = min(seconds(lambda: ngram_lm._Batch(texts)) for _ in range(5))
+    scalars = min(seconds(lambda: [w.as_py() for w in distinct]) for _ in range(5))
+    assert own < scalars
+
+
 def brute_scores(rows, order, min_count):
     """Integer score, words and backed-off words of each document, by the definition."""
     from math import log10
