@@ -1,8 +1,8 @@
 """Mixing sources to target weights under a curriculum that changes over training.
 
-Each source has a weight schedule over training time t in [0, 1], a straight line from ``start`` to ``end``.
-Its integral, scaled to the words that the mix takes from the source, is the source's cumulative demand.  The
-k-th word of a source is wanted when that demand reaches k, so inverting it gives each document its position,
+Each source has a weight and a schedule over training time t in [0, 1], a straight line from ``start`` to ``end``
+times that weight.  Its integral over the whole training is the source's part in the mix, and its integral up to t,
+scaled to the words that the mix takes from the source, is the source's cumulative demand.  The k-th word of a source is wanted when that demand reaches k, so inverting it gives each document its position,
 and a range sort by position the training order.  Positions are times: where the schedules' sum changes over
 training, so does the number of words that a unit of time takes, but not their order.
 
@@ -42,32 +42,33 @@ def targets(
 ) -> DataFrame:
     """Adds weight, schedule and target to (source, source_size): one row per source.
 
-    The words of all sources are shared by weight.  Where a share passes ``passes`` times the source's size it
+    The words of all sources are shared by their schedules' integrals, here the weight.  Where a share passes ``passes`` times the source's size it
     stops there and the excess is shared by weight among the others, again until none is above.  That is one
     level L with target = min(cap, weight * L): with sources ordered by cap / weight, those whose ratio is
-    below the level are full, and the level is what they leave over the weights of the rest.
+    below the level are full, and the level is what they leave over the weights of the rest.  A source of weight
+    zero takes part in none of this, besides its words.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sources.withColumn("rank", F.row_number().over(by_name) - 1)
+    start, end = (_cycle(F.col("rank"), [float(s[i]) for s in schedules]) for i in (0, 1))
+    integral = _cycle(F.col("rank"), [float(w) for w in weights]) * (start + end) / 2
     ranked = ranked.select(
-        "source",
-        "source_size",
-        _cycle(F.col("rank"), [float(w) for w in weights]).alias("weight"),
-        _cycle(F.col("rank"), [a for a, _ in schedules]).alias("start"),
-        _cycle(F.col("rank"), [b for _, b in schedules]).alias("end"),
-        "rank",
+        "source", "source_size", integral.alias("weight"), start.alias("start"), end.alias("end"), "rank"
     ).withColumn("cap", F.col("source_size").cast("double") * passes)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
+    weighs = F.col("weight") > 0
+    by_ratio = Window.orderBy(F.when(weighs, F.col("cap") / F.col("weight")).asc_nulls_last(), "rank")
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    level = (
-        F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    ) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    filled = ranked.withColumn("own", level).withColumn("full", F.col("cap") <= F.col("weight") * F.col("own"))
+    left = F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    filled = ranked.withColumn("left", left).withColumn("open_weight", open_weight)
+    filled = filled.withColumn("own", F.when(weighs, F.col("left") / F.col("open_weight")))
+    filled = filled.withColumn("full", F.col("cap") <= F.col("weight") * F.col("own"))
     # The first source in this order that does not fill sets the level; all before it are full.
     final = F.min(F.when(~F.col("full"), F.struct("rank_by", "own"))).over(everything)
     filled = filled.withColumn("rank_by", F.row_number().over(by_ratio)).withColumn("level", final["own"])
-    target = F.least(F.col("cap"), F.col("weight") * F.coalesce("level", F.lit(0.0)))
+    # Without such a source all that weigh are full, as where there are no words at all.
+    target = F.when(weighs, F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("level"), F.col("cap")))).otherwise(F.lit(0.0))
     return filled.select("source", "source_size", "start", "end", target.alias("target"))
 
 
@@ -78,7 +79,7 @@ def demand_time(share: Column, start: Column, end: Column) -> Column:
     """
     total = (start + end) / 2
     root = F.sqrt(F.greatest(start * start + (end - start) * total * share * 2, F.lit(0.0)))
-    return F.when(start + end == 0, share).otherwise(total * share * 2 / (start + root))
+    return F.when(start + end == 0, share).when(start + root == 0, F.lit(0.0)).otherwise(total * share * 2 / (start + root))
 
 
 def assign(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIGHTS, passes: int = MOST_PASSES,

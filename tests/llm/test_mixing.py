@@ -80,6 +80,30 @@ def test_training_order(docs):
     assert words == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
 
 
+def test_targets_follow_the_integrals_of_the_schedules(spark):
+    """Weight times schedule, integrated: 5 of 12 words, 4 of 12, none of c and 3 of 12 (weight 5, 0.6 on the mean)."""
+    rows = [(10 * i + j, "w " * 12, s) for i, s in enumerate("abcd") for j in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    schedules = ((0.0, 2.0), (3.0, 1.0), (0.0, 0.0), (1.2, 0.0))
+    got = X.assign(df, schedules=schedules).collect()
+    targets = {r.source: r.target for r in got}
+    assert targets == pytest.approx({"a": 200.0, "b": 160.0, "c": 0.0, "d": 120.0})
+    assert {s: sum(r.taken for r in got if r.source == s) for s in "abcd"} == {"a": 200, "b": 160, "c": 0, "d": 120}
+    first = {s: min(r.position for r in got if r.source == s and r.taken) for s in "abd"}
+    assert first == {"a": 0.0, "b": 0.0, "d": 0.0}
+    # Words wanted in the first half: 1/4 of a's, 5/8 of b's and 3/4 of d's demand; a document is 12 words.
+    uses = X.training_order(X.assign(df, schedules=schedules), ("source",)).where("position < 0.5").collect()
+    half = {s: sum(r.words for r in uses if r.source == s) for s in "abd"}
+    assert all(abs(half[s] - share * targets[s]) <= 12 for s, share in (("a", 1 / 4), ("b", 5 / 8), ("d", 3 / 4)))
+
+
+def test_all_that_weigh_are_full(spark):
+    rows = [(1, "w " * 90, "a"), (2, "w w", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = X.assign(df, schedules=((0.0, 0.0), (1.0, 0.0))).collect()
+    assert {r.source: (r.target, r.taken) for r in got} == {"a": (0.0, 0), "b": (6.0, 6)}
+
+
 def test_query_is_in_training_order(spark, sf):
     query = op9_source_mixing(spark, sf)
     assert "rangepartitioning(position" in query._jdf.queryExecution().executedPlan().toString()
