@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselight.llm.common import bounded_batches, drop_stage, stage
+from caselight.llm.common import as_bytes, bounded_batches, drop_stage, stage
 
 ALPHA = 0.4
 ORDER = 3  # longest n-grams of score_ngrams, which keeps all counts
@@ -30,13 +30,23 @@ MIN_COUNT = 2  # of score, whose two orders and bound are those of the query's S
 SEND = 500_000  # fewer words than this each make more than 1 / SEND of all positions; those are sent to all tasks
 SEND_PAIRS = 2_000_000  # the same of pairs, which take 16 bytes each, so 32 MB at most
 UNIT = 1_000_000_000
+GATHER = 12 << 20  # bytes of text that are counted together; what occurs often in them leaves Arrow once
+ROWS = 1 << 16  # rows that leave Arrow at a time
+
+
+def _lower(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, a character for a character; bytes that are not UTF-8 become U+FFFD."""
+    try:
+        return pc.utf8_lower(texts)
+    except pa.ArrowInvalid:
+        return pc.utf8_lower(pa.array([b.decode(errors="replace") for b in as_bytes(texts)], texts.type))
 
 
 class _Batch:
     """Words of some texts: ``code`` of each position, ``hash`` of each code, ``doc`` (row) of each position."""
 
     def __init__(self, texts: pa.Array):
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        lists = pc.ascii_split_whitespace(_lower(texts.fill_null("")))
         per_text = np.diff(lists.offsets.to_numpy())
         words = lists.flatten()
         real = pc.not_equal(words, "")
@@ -81,10 +91,17 @@ def _sums(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where ``keys`` stand in a sorted table, and whether they do."""
+    at, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+        return at, known
+    # Only keys whose low bits are those of an entry are searched for; a search takes a step per halving of the table.
+    low = np.int64((8 << len(table).bit_length()) - 1)
+    taken = np.zeros(low + 1, bool)
+    taken[table & low] = True
+    likely = np.flatnonzero(taken[keys & low])
+    at[likely] = np.minimum(np.searchsorted(table, keys[likely]), len(table) - 1)
+    known[likely] = table[at[likely]] == keys[likely]
+    return at, known
 
 
 def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -102,36 +119,52 @@ def _pair_column() -> Column:
     return F.col("v").bitwiseXOR(F.shiftleft("w", 17).bitwiseOR(F.shiftrightunsigned("w", 47)))
 
 
-def _each(docs: DataFrame, make: Callable[[_Batch], list[tuple]], names: tuple[str, ...], ids: bool) -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _each(
+    docs: DataFrame, make: Callable[[_Batch], list[tuple]], names: tuple[str, ...], ids: bool, gather: int = 0
+) -> DataFrame:
     """Rows that ``make`` gives for batches of texts, as arrays; with ``ids`` the first one has rows of doc_id.
 
     ``make`` may give several groups of arrays; None stands for a column of nulls.
     """
-    source = bounded_batches(docs).where("text IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
+    source = bounded_batches(docs).where("text IS NOT NULL").select("doc_id", "text")
     fields = [T.StructField(n, T.LongType()) for n in names]
     schema = T.StructType([source.schema["doc_id"], *fields] if ids else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, gather):
             for group in make(_Batch(batch.column(1))):
                 first = [batch.column(0).take(pa.array(group[0]))] if ids else []
                 rest = group[1:] if ids else group
-                size = len(group[0])
+                size = len(group[0] if ids else group[-1])
                 cols = [pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in rest]
-                if size:
-                    yield pa.RecordBatch.from_arrays(first + cols, schema.names)
+                made = pa.RecordBatch.from_arrays(first + cols, schema.names)
+                for at in range(0, size, ROWS):
+                    yield made.slice(at, ROWS)
 
     return source.mapInArrow(run, schema)
 
 
-def _count_words(batch: _Batch) -> list[tuple]:
-    return [(batch.hash, np.bincount(batch.code, minlength=len(batch.hash)))]
-
-
-def _count_pairs(batch: _Batch) -> list[tuple]:
+def _count(batch: _Batch) -> list[tuple]:
+    """Rows (v, w, n) of pairs, and of words with none before them."""
     v, w, _ = batch.pairs()
     both, n = np.unique(v << 32 | w, return_counts=True)
-    return [(batch.hash[both >> 32], batch.hash[both & 0xFFFFFFFF], n)]
+    return [
+        (None, batch.hash, np.bincount(batch.code, minlength=len(batch.hash))),
+        (batch.hash[both >> 32], batch.hash[both & 0xFFFFFFFF], n),
+    ]
 
 
 def _count_grams(order: int) -> Callable[[_Batch], list[tuple]]:
@@ -199,6 +232,16 @@ def _fixed(x: Column) -> Column:
     return F.round(x * UNIT).cast("long")
 
 
+def _counted(docs: DataFrame, make: Callable[[_Batch], list[tuple]], key: tuple[str, ...]) -> DataFrame:
+    """``(*key, n)`` over all texts.
+
+    Rows are dealt out by key as they leave Arrow, where they were added up: most that are left stand alone, so that
+    adding up each task's in Spark as well takes more time than their way.
+    """
+    rows = _each(docs, make, (*key, "n"), ids=False, gather=GATHER).repartition(*key)
+    return rows.groupBy(*key).agg(F.sum("n").alias("n"))
+
+
 def _corrections(
     docs: DataFrame, order: int, min_count: int, shorter: DataFrame, step: int, usual: Column, more_follow: bool
 ) -> DataFrame:
@@ -206,8 +249,7 @@ def _corrections(
 
     An n-gram met ``min_count`` times has both its shorter ones in the table before it.
     """
-    grams = _each(docs, _count_grams(order), ("key", "before", "after", "n"), ids=False)
-    grams = grams.groupBy("key", "before", "after").agg(F.sum("n").alias("n"))
+    grams = _counted(docs, _count_grams(order), ("key", "before", "after"))
     grams = stage(grams.where(F.col("n") >= min_count), "grams")
     made = grams.join(
         shorter.select(F.col("key").alias("before"), F.col("n").alias("n_before")).hint("shuffle_hash"), "before"
@@ -243,12 +285,11 @@ def score_ngrams(
     if order < 2:
         raise ValueError("the model has two orders or more")
     context = docs.sparkSession.sparkContext
-    counts = _each(docs, _count_words, ("w", "n"), ids=False).groupBy("w").agg(F.sum("n").alias("n"))
-    counts = stage(counts, "words")
+    # One reading counts words and pairs.  With a bound, pairs below it go before anything is looked up.
+    both = _counted(docs, _count, ("v", "w"))
+    both = stage(both.where(F.col("v").isNull() | (F.col("n") >= min_count)), "counts")
+    counts, pairs = stage(both.where("v IS NULL").select("w", "n"), "words"), both.where("v IS NOT NULL")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    # With a bound, pairs below it go before anything is looked up.
-    pairs = _each(docs, _count_pairs, ("v", "w", "n"), ids=False).groupBy("v", "w").agg(F.sum("n").alias("n"))
-    pairs = stage(pairs.where(F.col("n") >= min_count), "bigrams")
     first = _fixed(F.log10(F.col("n_w") / total))
     backed = _fixed(F.log10(F.lit(alpha)) + F.log10(F.col("n_w") / total))
     better = pairs.join(counts.select(F.col("w").alias("v"), F.col("n").alias("n_v")).hint("shuffle_hash"), "v").join(
@@ -260,7 +301,7 @@ def score_ngrams(
     known = [F.col("n"), own_value.alias("value")] if order > 2 else []
     better = better.select(_pair_column().alias("key"), (own_value - backed).alias("more"), usual, *known)
     better = stage(better, "corrections")
-    drop_stage(pairs)
+    drop_stage(both)
     # Frequent words and pairs meet their values where they stand and become one row a document; others travel.
     # That row gets a key of its document, lest all of them meet in one task.
     own = F.xxhash64("doc_id")

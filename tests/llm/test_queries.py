@@ -5,6 +5,7 @@ import hashlib
 import time
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -95,6 +96,52 @@ def test_words_are_not_taken_from_arrow_one_by_one():
     assert own < scalars
 
 
+def test_scores_read_texts_three_times_and_counts_meet_once(spark, monkeypatch):
+    """Words and pairs are counted in one reading, and rows are dealt out before Spark adds them up."""
+    made, each, counted = [], ngram_lm._each, ngram_lm._counted
+    monkeypatch.setattr(ngram_lm, "_each", lambda *a, **k: made.append(a) or each(*a, **k))
+    df = spark.createDataFrame([(1, "a b a b"), (2, "a b c")], "doc_id long, text string")
+    assert ngram_lm.score(df).count() == 2 and len(made) == 3
+    rows = counted(df, ngram_lm._count, ("v", "w"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.rindex("HashAggregate") < plan.index("Exchange") and plan.count("Exchange") == 1
+    assert sorted((r.v is None, r.n) for r in rows.collect()) == [(False, 1), (False, 1), (False, 3), (True, 1), (True, 3), (True, 3)]
+
+
+def test_scores_of_letters_whose_lower_case_is_longer_or_depends_on_their_place(spark, tmp_path):
+    rows = [(1, "\u0130X ix ix \u0130X"), (2, "\u0391\u03a3 \u03b1\u03c3 \u03b1\u03c2 \u0391\u03a3"), (3, "\u00c9 \u00e9 \u1e9e \u00df")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = connect(str(tmp_path))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert compare(ngram_lm.score(df), con.sql(ORACLE_SQL["op3_lm_scoring"])) == ""
+
+
+def test_scores_of_texts_that_are_not_utf8(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'4120FF2062' AS STRING) AS text UNION ALL SELECT 2L, 'a \ufffd B'")
+    rows = ngram_lm.score(df).collect()
+    assert [r.n_words for r in rows] == [3, 3] and len({r.log10_score for r in rows}) == 1
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 5_000])
+def test_keys_found_in_sorted_tables(size):
+    rng = np.random.default_rng(3)
+    table = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+    near = table ^ np.int64(1 << 62)  # the same low bits
+    keys = rng.permutation(np.concatenate([table, near, rng.integers(-50, 50, 100), table]))
+    at, known = ngram_lm._find(table, keys)
+    assert known.tolist() == np.isin(keys, table).tolist() and (table[at[known]] == keys[known]).all()
+    assert [len(x) for x in ngram_lm._find(table, keys[:0])] == [0, 0]
+
+
+def test_gathered_batches_hold_all_rows_in_order():
+    batches = pa.table({"doc_id": range(100), "text": ["x" * 50] * 100}).to_batches(max_chunksize=9)
+    for most, least in ((0, len(batches)), (1_000, 2), (10**9, 1)):
+        out = list(ngram_lm._gathered(iter(batches), most))
+        assert [i for b in out for i in b.column(0).to_pylist()] == list(range(100)) and least <= len(out) <= len(batches)
+    assert list(ngram_lm._gathered(iter([]), 10)) == []
+
+
 def brute_scores(rows, order, min_count):
     """Integer score, words and backed-off words of each document, by the definition."""
     from math import log10
