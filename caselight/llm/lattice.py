@@ -3,17 +3,21 @@
 In each of several tables a unit vector is projected to eight random directions, scaled, and decoded to the
 nearest point of the E8 lattice; vectors of one lattice point share a cell.  A vector also asks the
 neighbouring points that its projection leans to most.  Proposed pairs are compared by cosine in double
-precision.  Equal vectors are one class, so a group of copies is one vertex whatever its size.
+precision, where they meet (``cells``).  Equal vectors are one class, so a group of copies is one vertex whatever
+its size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm.common import stage
+from caselight.llm import cells
+from caselight.llm.common import bounded_batches, drop_stage, partitions, stage
 from caselight.llm.components import connected_components
 
 COSINE = 0.95
@@ -22,6 +26,10 @@ PROBES = 12  # neighbouring lattice points asked in each table, of 240
 # Lattice units per standard deviation of a projected unit vector, by lattice points that make a cell.
 SCALES = {1: 1.1, 2: 0.65, 3: 0.5}
 SEED = 20
+# Bytes of packed rows: of several tables that take a turn together, and of those a task searches.
+TURN_BYTES = 128 << 20
+BUCKET_BYTES = 16 << 20
+SLICED = 100_000  # vectors above which those with a partner are joined in slices
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
@@ -74,71 +82,38 @@ def lattices_for(n: int) -> int:
     return out
 
 
-def _cells(tables: int, lattices: int, probes: int, scale: float, seed: int):
+def _sign(tables: int, lattices: int, probes: int, scale: float, seed: int):
+    """A sketch of each vector, and for each table the key of its cell and which neighbouring cells it asks."""
     around = e8_neighbours()
-    weight = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(8 * lattices)], np.uint64)
-
-    def keys(points: np.ndarray) -> np.ndarray:
-        twice = np.rint(2 * points).astype(np.int64).astype(np.uint64)
-        x = (twice * weight).sum(axis=-1, dtype=np.uint64)
-        return (x ^ (x >> np.uint64(29))).view(np.int64)
+    step = cells.neighbour_keys(around, lattices)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            dims = lists.value_lengths().to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                flat = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-                unit = flat.reshape(-1, dim).astype(np.float64)
-                unit = np.ldexp(unit, -np.frexp(np.abs(unit).max(axis=1, keepdims=True))[1])
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                sides = projections(int(dim), tables, lattices, seed)
+            for rows, vectors in cells.by_length(batch):
+                dim = vectors.shape[1]
+                unit = cells.units(vectors)
+                sides = projections(dim, tables, lattices, seed)
+                asked = []
                 for t in range(tables):
                     at = [scale * unit @ sides[t, k] for k in range(lattices)]
                     point = [nearest_e8(x) for x in at]
-                    own = np.concatenate(point, axis=1)
-                    # A neighbour is the nearer, the more the offset leans to it.
-                    lean = np.concatenate(
-                        [(x - p) @ around.T - (around**2).sum(axis=1) / 2 for x, p in zip(at, point, strict=True)],
-                        axis=1,
-                    )
-                    best = np.argsort(-lean, axis=1, kind="stable")[:, :probes]
-                    asked = np.repeat(own[:, None, :], probes + 1, axis=1)
-                    row = np.arange(len(own))
-                    for j in range(best.shape[1]):
-                        which, step = best[:, j] // len(around), around[best[:, j] % len(around)]
-                        for k in range(lattices):
-                            mine = which == k
-                            asked[row[mine], j + 1, 8 * k : 8 * k + 8] += step[mine]
-                    cell = keys(asked) ^ np.int64(t)
-                    home = np.zeros(cell.shape, bool)
-                    home[:, 0] = True
-                    wide = np.broadcast_to(ids[rows][:, None], cell.shape)
-                    # Vectors of other lengths never share a cell.
-                    cols = [wide.ravel(), np.full(cell.size, dim * tables + t), cell.ravel(), home.ravel()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3])],
-                        ["id", "table", "cell", "home"],
-                    )
+                    # A neighbour is the nearer, the more the offset leans to it; all are equally long.
+                    lean = np.concatenate([(p - x) @ around.T for x, p in zip(at, point, strict=True)], axis=1)
+                    best = np.argpartition(lean, probes - 1, axis=1)[:, :probes] if probes else lean[:, :0]
+                    asked.append(cells.asked_column(cells.point_keys(np.concatenate(point, axis=1)), best, step))
+                sketch = cells.binary(cells.sketches(unit, seed))
+                dims = pa.array(np.full(len(unit), dim, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.select(["id", "n", "embedding"]).columns, dims, sketch, *asked], _signed_names(tables)
+                )
 
     return run
 
 
-def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Cosines of vectors of any magnitude: each is first divided by a power of two, which changes no digit."""
-    if not len(a):
-        return pa.array([], pa.float64())
-    counts = a.value_lengths().to_numpy(zero_copy_only=False)
-    edge = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    x = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    y = b.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x, y = (np.ldexp(v, -np.repeat(np.frexp(np.maximum.reduceat(np.abs(v), edge))[1], counts)) for v in (x, y))
-    dot, xx, yy = (np.add.reduceat(v, edge) for v in (x * y, x * x, y * y))
-    return pa.array(dot / (np.sqrt(xx) * np.sqrt(yy)))
+def _signed_names(tables: int) -> list[str]:
+    return ["id", "n", "embedding", "dim", "sketch", *(f"asked_{t}" for t in range(tables))]
 
 
 def usable(vector: str = "embedding"):
@@ -165,25 +140,134 @@ def near_pairs(
     lattices: int | None = None, seed: int = SEED,
 ) -> DataFrame:
     """``(a, b)``, a < b: pairs of different vectors (by ``id``) found with at least this cosine."""
-    lattices = lattices or lattices_for(kinds.count())
+    return _near(_signed(kinds, tables, probes, lattices, seed), cosine, tables, probes, True).select("a", "b")
+
+
+def near_links(
+    kinds: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES,
+    lattices: int | None = None, seed: int = SEED,
+) -> DataFrame:
+    """``(a, b, near)``: what :func:`near_pairs` finds, without a row for each pair.
+
+    Rows with ``near`` add up to the number of vectors, copies included, near ``a``; the others tie ``a`` to ``b``
+    so that the same are tied as by the pairs.  The staged ``kinds`` are deleted on the way.
+    """
+    signed = _signed(kinds, tables, probes, lattices, seed)
+    drop_stage(kinds)
+    return _near(signed, cosine, tables, probes, False)
+
+
+def _signed(kinds: DataFrame, tables: int, probes: int, lattices: int | None, seed: int) -> tuple:
+    """The staged vectors with their cells, their number, that of their components, the lattice points of a cell."""
+    if probes > 62:
+        raise ValueError("a row's cells are the bits of a long: ask 62 neighbours at most")
+    total, held = kinds.agg(F.count(F.lit(1)), F.sum(F.size("embedding").cast("long"))).first()
+    lattices = lattices or lattices_for(total)
     scale = SCALES[min(lattices, max(SCALES))]
-    schema = "id long, table int, cell long, home boolean"
-    cells = stage(
-        kinds.select("id", "embedding").mapInArrow(_cells(tables, lattices, probes, scale, seed), schema), "cells"
-    )
-    homes = cells.where("home").select("table", "cell", F.col("id").alias("other"))
-    proposed = (
-        cells.join(homes, ["table", "cell"])
-        .where("id <> other AND (NOT home OR id < other)")
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        .distinct()
-    )
-    first = kinds.select(F.col("id").alias("a"), F.col("embedding").alias("x"))
-    second = kinds.select(F.col("id").alias("b"), F.col("embedding").alias("y"))
-    found = F.arrow_udf(_cosine, "double")("x", "y")
-    compared = proposed.join(first, "a").join(second, "b").withColumn("cosine", found)
-    compared = compared.where(~F.isnan("cosine") & (F.col("cosine") >= cosine))
-    return stage(compared.select("a", "b"), "pairs")
+    n = F.col("n") if "n" in kinds.columns else F.lit(1).cast("long").alias("n")
+    rows = bounded_batches(kinds.select("id", n, "embedding"))
+    types = [*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "dim int"]
+    types += [f"{c} binary" for c in _signed_names(tables)[4:]]
+    signed = rows.mapInArrow(_sign(tables, lattices, probes, scale, seed), ", ".join(types))
+    return stage(signed, "signed"), total, held or 0, lattices
+
+
+def _near(signed: tuple, cosine: float, tables: int, probes: int, pairs: bool) -> DataFrame:
+    """The links of all tables.  Shuffles take turns, a few tables or a part of one at a time, as every vector is
+    sent to thirteen cells of each table: together they would hold many times the input on disk."""
+    signed, total, held, lattices = signed
+    spark = signed.sparkSession
+    step = cells.neighbour_keys(e8_neighbours(), lattices)
+    masks = [f"mask_{t}" for t in range(tables)]
+    sizes = [total * (probes + 1) * cells.SLIM.itemsize] * tables
+    live = []
+    for which in _turns(sizes, TURN_BYTES):
+        columns = ["id", "dim", "sketch", *(f"asked_{t}" for t in which)]
+        buckets = _buckets(spark, sum(sizes[t] for t in which))
+        deal = cells.deal_sketches(tables, which, probes, step, buckets)
+        met = _deal(signed.select(columns), deal, buckets).mapInArrow(cells.meet(cells.sketch_bound(cosine)), cells.MET)
+        # Rows of vectors, and those of large cells, which have no mask.
+        found = met.groupBy("id", "grp", (F.col("mask") == 0).alias("large")).agg(
+            F.bit_or("mask").alias("mask"), F.max("homes").alias("homes"), F.max("asks").alias("asks")
+        )
+        live.append(stage(found, "live"))
+    met = reduce(DataFrame.unionByName, live)
+    large: dict[int, list] = {}
+    for r in met.where("large").collect():
+        large.setdefault(r.grp, []).append((r.id, -(-r.homes // cells.GRID), -(-r.asks // cells.GRID)))
+    large = {g: tuple(np.array(sorted(x), np.int64).T) for g, x in large.items()}
+    by_table = [F.bit_or(F.when(F.col("grp") % tables == t, F.col("mask"))).alias(m) for t, m in enumerate(masks)]
+    own = stage(met.where("NOT large").groupBy("id").agg(*by_table), "masks")
+    for done in live:
+        drop_stage(done)
+    # The vectors that can have a partner; a join of all at once would hold them three times.
+    slices = 2 + 2 * own.count() // total if total > SLICED else 1
+    rows = []
+    for i in range(slices):
+        here = F.pmod(F.xxhash64("id"), F.lit(slices)) == i
+        rows.append(stage(signed.drop("sketch").where(here).join(own.where(here), "id"), "active"))
+    active = reduce(DataFrame.unionByName, rows)
+    drop_stage(signed)
+    drop_stage(own)
+
+    kind, width = ("<f4", 4) if signed.schema["embedding"].dataType.elementType.typeName() == "float" else ("<f8", 8)
+    each = [F.bit_count(m) * (29 + (t + 1) * (8 + 2 * probes) + width * F.col("dim")) for t, m in enumerate(masks)]
+    sizes = [s or 0 for s in active.agg(*(F.sum(x) for x in each)).first()]
+    most = max(TURN_BYTES, width * held)
+    out = []
+    for which in _turns(sizes, most):
+        size = sum(sizes[t] for t in which)
+        parts = max(1, -(-size // most))
+        columns = ["id", "n", "embedding", *(f"asked_{t}" for t in range(which[-1] + 1))]
+        some = active.select(*columns, *(masks[t] for t in which))
+        if len(which) < tables:
+            some = some.where(" OR ".join(f"{masks[t]} <> 0" for t in which))
+        buckets = _buckets(spark, size // parts)
+        for part in range(parts):
+            deal = cells.deal_vectors(tables, which, probes, step, buckets, kind, large, parts, part)
+            task = cells.link(tables, probes, step, kind, cosine, pairs)
+            out.append(stage(_deal(some, deal, buckets).mapInArrow(task, cells.LINKS), "links"))
+    for done in rows:
+        drop_stage(done)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _deal(df: DataFrame, deal, buckets: int) -> DataFrame:
+    dealt = bounded_batches(df).mapInArrow(deal, cells.DEALT).repartitionById(buckets, "bucket")
+    return dealt.select("grp", "payload")
+
+
+def _buckets(spark: SparkSession, size: int) -> int:
+    return max(partitions(spark), -(-size // BUCKET_BYTES))
+
+
+def _turns(sizes: list[int], most: int) -> list[list[int]]:
+    """Tables in order, together as long as their sizes stay within the bound."""
+    out, held = [], 0
+    for t, size in enumerate(sizes):
+        if not out or held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(t)
+        held += size
+    return out
+
+
+def _digest():
+    return F.xxhash64("embedding")
+
+
+def _named(rows: DataFrame, kinds: DataFrame, heads: DataFrame) -> DataFrame:
+    """``(vec_id, id, n)``: the vector of each row.  Where no other vector has its hash, vectors need not travel."""
+    shared = stage(heads.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("digest"), "shared")
+    rows = rows.withColumn("digest", _digest())
+    if shared.isEmpty():
+        return stage(rows.select("vec_id", "digest").join(heads.select("digest", "id", "n"), "digest").drop("digest"), "named")
+    alone = heads.join(shared, "digest", "left_anti").select("digest", "id", "n")
+    told = rows.select("vec_id", "digest").join(alone, "digest").drop("digest")
+    some = kinds.withColumn("digest", _digest()).join(shared, "digest", "left_semi").select("embedding", "id", "n")
+    apart = rows.join(shared, "digest", "left_semi").join(some, "embedding").select("vec_id", "id", "n")
+    return stage(told.unionByName(apart), "named")
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, **how) -> DataFrame:
@@ -196,11 +280,12 @@ def link(vectors: DataFrame, cosine: float = COSINE, **how) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = F.coalesce(usable(), F.lit(False)) & F.col("vec_id").isNotNull()
     kinds = classes(rows)
-    pairs = near_pairs(kinds, cosine, **how)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = kinds.select(F.col("id").alias("b"), "n")
-    near = both.join(sizes, "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("near"))
-    named = stage(rows.where(good).join(kinds.select("embedding", "id", "n"), "embedding").drop("embedding"), "named")
+    heads = stage(kinds.select("id", "vec_id", "n", _digest().alias("digest")), "heads")
+    named = _named(rows.where(good), kinds, heads)
+    links = near_links(kinds, cosine, **how)
+    kinds = heads
+    near = links.where("near IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("near").alias("near"))
+    pairs = links.where("near IS NULL").select("a", "b")
     # A vec_id that names several different vectors ties them together.
     shared = named.groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last")
     ties = named.select("vec_id", F.col("id").alias("b")).join(shared, "vec_id").select("a", "b")
