@@ -404,6 +404,8 @@ class _Links:
         self.cosine, self.pairs = cosine, pairs
         self.near = np.zeros(len(rows), np.int64)
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
     def run(self) -> Iterator[pa.RecordBatch]:
         small = self.owns * self.size <= LISTED
@@ -415,26 +417,31 @@ class _Links:
         for c in np.flatnonzero(~small & (self.owns > 0)):
             cell = np.arange(self.start[c], self.start[c] + self.size[c])
             for a, b in self.unproposed(cell[self.role[cell] & ASKS > 0], cell[: self.owns[c]]):
+                if len(a) * len(b) <= LISTED:
+                    self.few(a, b)
+                    continue
                 for some in np.split(a, range(1024, len(a), 1024)):
                     for home in np.split(b, range(1024, len(b), 1024)):
                         self.block(some, home)
                         yield from self.flush(HELD)
+            self.settle()
         yield from self.flush(0)
         if not self.pairs:
             some = np.flatnonzero(self.near)
             yield self.out(self.ids[some], None, self.near[some])
 
-    def unproposed(self, a: np.ndarray, b: np.ndarray):
-        """Rows and homes by the homes' cells in the first table, without the rows that asked those cells there."""
-        if not self.t:
-            yield a, b
-            return
-        cells, at = np.unique(self.home[0, b], return_inverse=True)
-        had = self.member(self.asked[0, a], cells)
-        for k in range(len(cells)):
-            rest = a[~had[:, k]]
-            if len(rest):
-                yield rest, b[at == k]
+    def unproposed(self, a: np.ndarray, b: np.ndarray, s: int = 0):
+        """Rows and homes, by the homes' cells in the tables before where that leaves out most of the rows: those that
+        asked the cell there."""
+        while s < self.t and len(a) * len(b) > LISTED:
+            cells, at, count = np.unique(self.home[s, b], return_inverse=True, return_counts=True)
+            rest = ~self.member(self.asked[s, a], cells)
+            if rest.sum(axis=0) @ count * 2 < len(a) * len(b):
+                for k in np.flatnonzero(rest.any(axis=0)):
+                    yield from self.unproposed(a[rest[:, k]], b[at == k], s + 1)
+                return
+            s += 1
+        yield a, b
 
     @staticmethod
     def member(asked: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -464,6 +471,22 @@ class _Links:
         new = (self.ids[a] < self.ids[b]) | (self.asked[self.t, b] != self.home[self.t, a][:, None]).all(axis=1)
         return a[new], b[new]
 
+    def few(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Rows against homes, to be settled with others."""
+        found = self.unit[a] @ self.unit[b].T
+        x, y = np.nonzero(found >= self.cosine - EDGE)
+        self.held.append((found[x, y], a[x], b[y]))
+        self.waiting += len(x)
+        if self.waiting > 1 << 16:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            found, a, b = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            use = self.ids[a] != self.ids[b]
+            self.take(*self.first(*self.close(found[use], a[use], b[use])))
+        self.held, self.waiting = [], 0
+
     def block(self, a: np.ndarray, b: np.ndarray) -> None:
         """Rows against homes, all pairs at once."""
         found = self.unit[a] @ self.unit[b].T
